@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraglight.llm.ledger import formatting_ledger
+from fraglight.llm.linkage import link_history
 from fraglight.llm.neardup import near_duplicate_groups
 from fraglight.llm.spans import shared_clusters, shared_spans
+from fraglight.llm.terms import marked_terms
 from fraglight.llm.tokens import decode_column, encode_column
 from fraglight.sources.tables import table
 
@@ -45,6 +48,19 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _ledger(spark: SparkSession, d: str):
+    return formatting_ledger(table(spark, d, "annotated_fragments"), "fragment_id", "fragment", "dependencies", "loaded_at")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _ledger(spark, d).copies()
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct record: its first id and the number of its copies, itself included."""
+    return _ledger(spark, d).counts().select("first_id", "copies")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     annotated = table(spark, d, "annotated_fragments").select(F.lit("annotated_fragment").alias("record_kind"), F.col("fragment_id").alias("id"), "fragment")
     snippets = table(spark, d, "snippets").select(F.lit("snippet").alias("record_kind"), F.col("snippet_id").alias("id"), "fragment")
@@ -52,6 +68,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("kind", "record_kind")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    linker, all_ = link_history(table(spark, d, "seen"), table(spark, d, "iterations"))
+    return linker.repeated(all_).select(F.col("campaign").alias("campaign_id"), "iter", "pos")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of places that are linked, also through others: their representative and number of lines."""
+    linker, _ = link_history(table(spark, d, "seen"), table(spark, d, "iterations"), clusters=True)
+    return linker.clusters.groupBy(F.col("root").alias("representative")).agg(F.count("*").alias("lines"))
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    fragments = table(spark, d, "annotated_fragments")
+    kinds = fragments.select(F.lit("fragment.node_kind").alias("field"), F.col("fragment_id").alias("id"), F.array("node_kind").alias("terms"))
+    placeholders = fragments.select(F.lit("placeholder.node_kind"), "fragment_id", F.col("placeholders.node_kind"))
+    locations = table(spark, d, "outcomes").select(F.lit("ice.location"), "run_id", F.col("ices.location"))
+    return kinds.unionAll(placeholders).unionAll(locations)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return marked_terms(_fields(spark, d)).filter("mark is not null").select("field", "term", "mark")
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All terms with their counts."""
+    return marked_terms(_fields(spark, d)).select("field", "term", "occurrences", "records", F.coalesce("mark", F.lit("")).alias("mark"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -62,9 +106,51 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p3_found, p8_ids, p8_decoded)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p3_found, p4_found, p4_clusters, p7_found, p7_counts, p8_ids, p8_decoded)
 }
 
+_KEYS = """
+    WITH one AS (SELECT fragment_id, any_value(fragment) AS fragment, any_value(dependencies) AS dependencies
+                 FROM annotated_fragments WHERE fragment_id IS NOT NULL GROUP BY fragment_id),
+    keyed AS (SELECT fragment_id, lower(regexp_replace(fragment, '[^\\p{L}\\p{N}]+', '', 'g')) AS body,
+                     list_sort(list_distinct(list_filter(list_transform(coalesce(dependencies, []),
+                         lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}]+', '', 'g'))), lambda x: x <> ''))) AS parts
+              FROM one),
+    grouped AS (SELECT body, parts, min(fragment_id) AS first_id, count(*) AS copies FROM keyed
+                WHERE body <> '' GROUP BY body, parts)
+"""
+
+_PLACES = """
+    WITH raw AS (
+        SELECT campaign_id, iter, pos, location FROM (
+            SELECT DISTINCT campaign_id, iter, unnest(range(len(new_locations))) AS pos, unnest(new_locations) AS location FROM iterations)
+        UNION ALL SELECT campaign_id, -4611686018427387904, -1, location FROM (SELECT DISTINCT campaign_id, location FROM seen)),
+    cleaned AS (SELECT campaign_id, iter, pos, regexp_replace(replace(lower(location), chr(92), '/'), '/(\\./|/)*', '/', 'g') AS p FROM raw),
+    places AS (SELECT campaign_id, iter, pos, regexp_extract(p, '((compiler|library)/.*\\.rs)', 1) AS file,
+                      try_cast(regexp_extract(p, '\\.rs[^0-9]*([0-9]+)', 1) AS BIGINT) AS line FROM cleaned)
+"""
+
+_TERMS = """
+    WITH f AS (SELECT fragment_id AS id, any_value(node_kind) AS kind, any_value(list_transform(placeholders, lambda x: x.node_kind)) AS kinds
+               FROM annotated_fragments GROUP BY fragment_id),
+    o AS (SELECT run_id AS id, any_value(list_transform(ices, lambda x: x.location)) AS places FROM outcomes GROUP BY run_id),
+    occurrence AS (SELECT 'fragment.node_kind' AS field, id, kind AS term FROM f
+          UNION ALL SELECT 'placeholder.node_kind', id, unnest(kinds) FROM f
+          UNION ALL SELECT 'ice.location', id, unnest(places) FROM o),
+    every AS (SELECT * FROM occurrence WHERE term IS NOT NULL),
+    total AS (SELECT field, count(DISTINCT id) AS n FROM every GROUP BY field),
+    counted AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT id) AS records,
+                       CASE WHEN count(*) <= 2 THEN 'rare' WHEN count(DISTINCT id) > 0.1 * any_value(n) THEN 'common' ELSE '' END AS mark
+                FROM every JOIN total USING (field) GROUP BY field, term)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _KEYS + "SELECT first_id, fragment_id AS copy_id FROM keyed JOIN grouped USING (body, parts) WHERE fragment_id <> first_id",
+    "p2_counts": _KEYS + "SELECT first_id, copies FROM grouped",
+    "p4_found": _PLACES + """SELECT DISTINCT x.campaign_id, x.iter, x.pos FROM places x JOIN places y
+        ON x.campaign_id = y.campaign_id AND x.file = y.file AND abs(x.line - y.line) <= 3
+        AND (y.iter < x.iter OR (y.iter = x.iter AND y.pos < x.pos)) WHERE x.pos >= 0 AND x.file <> ''""",
+    "p7_found": _TERMS + "SELECT field, term, mark FROM counted WHERE mark <> ''",
+    "p7_counts": _TERMS + "SELECT field, term, occurrences, records, mark FROM counted",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
