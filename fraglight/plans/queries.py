@@ -6,5 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from fraglight.operators.loglines import log_entries, parsed_lines
+from fraglight.operators.nested import nested_children
+from fraglight.sources.tables import table
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = nested_children(table(spark, d, "llm_outputs"), "output_id", "body")
+    return found.select("output_id", "child", "frag_no", "item_no")
+
+
+def p5_children(spark: SparkSession, d: str) -> DataFrame:
+    """The child rows with their texts and kinds."""
+    return nested_children(table(spark, d, "llm_outputs"), "output_id", "body")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = log_entries(table(spark, d, "outcomes"), "run_id", "stderr", "timestamp_utc")
+    return found.select("run_id", "line_no", "level", "component", "logged_at")
+
+
+def p6_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All entries with their messages."""
+    return log_entries(table(spark, d, "outcomes"), "run_id", "stderr", "timestamp_utc")
+
+
+def p6_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The merged templates, how many lines each has, and the slot that holds the component."""
+    lines, templates = parsed_lines(table(spark, d, "outcomes"), "run_id", "stderr", "timestamp_utc")
+    return lines.join(templates, "template").groupBy("merged", "begins", "component_slot").count().withColumnRenamed("count", "lines")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_children, p6_found, p6_entries, p6_templates)}
 SQL: dict[str, str] = {}
