@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from fraglight.llm.ledger import formatting_ledger
 from fraglight.llm.linkage import link_history
+from fraglight.llm.mixing import mixed
 from fraglight.llm.neardup import near_duplicate_groups
 from fraglight.llm.spans import shared_clusters, shared_spans
 from fraglight.llm.terms import marked_terms
 from fraglight.llm.tokens import decode_column, encode_column
+from fraglight.llm.toxicity import THRESHOLD, fit, labelled_documents, score_documents
 from fraglight.sources.tables import table
 
 FILE, SNIPPET = "file", "snippet"
@@ -105,8 +107,36 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_column(p8_ids(spark, d), "doc_id", "ids")
 
 
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix and how often they come."""
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each source that was asked for and reached."""
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score and the offsets of what offends."""
+    documents = table(spark, d, "documents")
+    weights = fit(labelled_documents(documents, table(spark, d, "doc_labels")))
+    return score_documents(documents, "doc_id", "text", weights)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and found ones of each source, and their rate. Documents without a source make a group of their own."""
+    scored = p10_scores(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    by = scored.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= THRESHOLD).alias("found"))
+    return by.withColumn("rate", F.col("found") / F.col("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p3_found, p4_found, p4_clusters, p7_found, p7_counts, p8_ids, p8_decoded)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p3_found, p4_found, p4_clusters, p7_found, p7_counts, p8_ids, p8_decoded, p9_documents, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 _KEYS = """
