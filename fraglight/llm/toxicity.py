@@ -34,7 +34,7 @@ WORDS = {
         asshole arsehole scumbag slag rat bastard bitch cunt dickhead dipshit shithead fuckwit fuckhead halfwit retard retarded jackass douchebag prick twat wanker whore
         slut pig dimwit cretin freak vermin subhuman subhumans filth disgusting
         arschloch wichser hurensohn missgeburt vollidiot trottel versager abschaum dreckskerl schlampe fotze spast depp dummkopf penner ungeziefer
-        gilipollas cabron idiota imbecil hijo puta pendejo mierda basura inutil escoria payaso zorra estupido
+        gilipollas cabron idiota imbecil hijo puta pendejo mierda basura inutil escoria payaso estupido
         connard connasse salope pute encule debile abruti cretin imbecile ordure batard crever merde""",
     "threat": """kill murder strangle stab shoot bullet throat exterminated exterminate rape
         umbringen vergasen schlag zahne verrecke abstechen matar matare romper infierno tuer creve egorger gueule""",
@@ -42,7 +42,7 @@ WORDS = {
         titten nackt geil ficken schwanz desnuda tetas polla follar verga nichons baise""",
     "group": """foreigners immigrants refugees women gays gay jews muslims blacks disabled trans migrants
         auslander fluchtlinge juden schwule frauen extranjeros inmigrantes mujeres gitanos moros etrangers immigres arabes juifs femmes""",
-    "you": """you your yours youre du dich dir dein deine deinen ihr euch tu usted vosotros vete tus toi vous votre""",
+    "you": """you your yours youre du dich dir dein deine deinen ihr euch tu usted vosotros tus toi vous votre""",
     "self": """i my me myself ich mein mich yo mi je mon moi""",
 }
 #: Letters of other scripts, digits and signs, and the letters that they stand for.
