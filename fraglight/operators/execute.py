@@ -36,7 +36,7 @@ def run_once(args: list[str], source: str, seconds: float) -> tuple[str, int | N
 def executed(runs: DataFrame, args: str, source: str, seconds: float = 10.0) -> DataFrame:
     """runs with termination, exit_status and stderr; `args` array<string> is the command, `source` the text. A null source is
     an empty file."""
-    schema = StructType(runs.schema.fields).add("kind", StringType()).add("exit_status", IntegerType()).add("signal", IntegerType()).add("stderr", StringType())
+    schema = StructType([*runs.schema.fields]).add("kind", StringType()).add("exit_status", IntegerType()).add("signal", IntegerType()).add("stderr", StringType())
     names = runs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

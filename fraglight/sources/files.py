@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def source_files(spark: SparkSession, folder: str, glob: str = "*.rs", without: tuple[str, ...] = ()) -> DataFrame:
-    """(path, rel, content, text, valid) of all files below a folder. text is the content with invalid UTF-8 replaced; valid
+    """(path, rel, content, text, valid) of all files below a folder that aren't empty. text is the content with invalid UTF-8 replaced; valid
     tells whether there was none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
     for part in without:
@@ -42,9 +44,11 @@ def options(spark: SparkSession, path: str) -> list[str]:
 
 def next_iteration(spark: SparkSession, folder: str) -> int:
     """One more than the greatest N of the files iteration_N.txt, or 0."""
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "iteration_*.txt").load(folder)
-    number = F.regexp_extract("path", r"iteration_(\d+)\.txt$", 1)
-    return read.filter(number != "").agg(F.coalesce(F.max(number.cast("int")) + 1, F.lit(0))).first()[0]
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/iteration_*.txt")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    numbers = [int(m[1]) for f in found if (m := re.search(r"iteration_(\d+)\.txt$", f.getPath().getName()))]
+    return max(numbers, default=-1) + 1
 
 
 def by_content(texts: DataFrame, text: str) -> DataFrame:
