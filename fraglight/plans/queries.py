@@ -12,10 +12,13 @@ from fraglight.functions import termination as term
 from fraglight.functions import text as tx
 from fraglight.operators import bundles, diagnostics, spans
 from fraglight.operators.loglines import log_entries, parsed_lines
+from fraglight.operators.campaign import Campaign
+from fraglight.operators.mutate import PROFILES, attribute_mutants, branch, filled, finished, type_mutants, value_mutants
 from fraglight.operators.nested import nested_children
+from fraglight.operators.nodes import annotated, structures, syntax_nodes
 from fraglight.operators.ranking import indexed, pick
 from fraglight.sources.files import by_content
-from fraglight.sources.tables import staged, table
+from fraglight.sources.tables import new_path, staged, table
 from fraglight.streaming.dedup import exploded, file_stream, first_seen
 
 VARIANTS = [("emit-mir", ["--emit=mir"]), ("opt", ["-Copt-level=3"]), ("plain", [])]
@@ -275,6 +278,54 @@ def multi_splice(spark: SparkSession, d: str) -> DataFrame:
     return edits.join(texts, "file_id").select("file_id", tx.splice(F.col("file_text"), F.col("edits")).alias("text"))
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return syntax_nodes(_files(spark, d), "file_id", "file_text")
+
+
+def node_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Structures of each kind, and how many distinct files and texts have them."""
+    nodes = structures(_nodes(spark, d))
+    return nodes.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_distinct("file_id").alias("files"))
+
+
+def annotate_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The kind that each snippet has where it stands in the files of its seed; null where it doesn't."""
+    pairs = staged(_pairs(spark, d).filter("fragment is not null").select("file_id", "snippet_id", "file_text", "fragment"), "pairs")
+    found = annotated(pairs, staged(_nodes(spark, d), "nodes"), "file_id", "file_text", "fragment", ["snippet_id"])
+    return found.select("file_id", "snippet_id", "node_kind")
+
+
+def edit_mutants(spark: SparkSession, d: str) -> DataFrame:
+    """Mutants by one edit of a type, a value or an attribute; each file in the way that its hash gives."""
+    files = _files(spark, d).filter("file_text is not null and seed_file is not null")
+    ways = files.select("file_id", branch(PROFILES["edits_only"], F.col("file_id").cast("string")).alias("way"))
+    nodes = staged(_nodes(spark, d), "nodes")
+    attributes = indexed(_snippets(spark, d).filter("kind like '%attribute_item' and fragment is not null").select(F.col("fragment").alias("attribute")).distinct(), ["attribute"], name="n")
+    made = {"type": type_mutants(nodes, files, "file_id", "file_text"), "value": value_mutants(nodes, files, "file_id", "file_text"), "attribute": attribute_mutants(nodes, files, "file_id", "file_text", attributes)}
+    out = None
+    for way, mutants in made.items():
+        own = mutants.join(ways.filter(F.col("way") == way), "file_id")
+        out = own if out is None else out.unionByName(own)
+    return finished(out.join(files.select("file_id", "seed_file"), "file_id"), "mutant", F.col("seed_file"), F.array().cast("array<string>")).select("file_id", "way", "id")
+
+
+def placeholder_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments with every second placeholder, by hash, filled with a name of the file."""
+    got = _fragments(spark, d).filter("fragment is not null and placeholders is not null")
+    names = F.transform("placeholders", lambda p: p.placeholder)
+    chosen = F.transform(names, lambda n: F.when(F.pmod(pick(F.col("fragment_id").cast("string"), n), F.lit(2)) == 0, F.concat(F.lit("filled_"), F.col("fragment_id").cast("string"))))
+    return filled(got.select("fragment_id", "fragment", names.alias("names"), chosen.alias("chosen")), "fragment", "names", "chosen").select("fragment_id", "filled")
+
+
+def campaign_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The places that a campaign holds after it took in all runs, a variant in each iteration."""
+    runs = _runs(spark, d).select("file", "stderr", "variant_label")
+    campaign = Campaign(spark, new_path(spark, "campaign"))
+    for label in ("emit-mir", None):
+        campaign.step(runs.filter(F.col("variant_label").eqNullSafe(label) if label else ~F.col("variant_label").eqNullSafe("emit-mir")))
+    return campaign.seen().select("location", "first_iter")
+
+
 def comment_removal(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).filter("file_text is not null").select("file_id", tx.without_comments(F.col("file_text")).alias("code"))
 
@@ -355,7 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ice_parse, ice_compiler, unique_locations, campaign_progress, termination_histogram, abnormal_runs, report_totals, report_lines,
         seed_filter, fp_filter, fragment_locate, fragment_locate_all, span_overlap_join, span_containment, kind_histogram, kind_previews,
         family_buckets, family_compat, family_with_parent, ingredient_join, plain_snippets, variant_matrix, dep_dictionary,
-        dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, comment_removal, prompt_build, hashed_files,
+        dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, node_kinds, annotate_kinds, edit_mutants, placeholder_fill, campaign_loop, comment_removal, prompt_build, hashed_files,
         crash_files, dropped_files, unseen_locations, iteration_log, stream_dedup, p5_found, p5_children, p6_found, p6_entries, p6_templates,
     )
 }
@@ -488,6 +539,8 @@ SQL: dict[str, str] = {
         made AS (SELECT d.file_id, p.snippet_id, decode(encode(file_text)[1:d.s] || encode(p.fragment) || encode(file_text)[d.e + 1:]) AS text
                  FROM drawn d JOIN pool p USING (place) JOIN files USING (file_id))
         SELECT file_id, snippet_id, sha256(text) AS id FROM made WHERE """ + _FALSE,
+    "campaign_loop": _ICE + """SELECT location, min(CASE WHEN variant_label = 'emit-mir' THEN 0 ELSE 1 END)::BIGINT AS first_iter
+        FROM inside JOIN runs USING (run_id) GROUP BY location""",
     "comment_removal": _ONE + r"SELECT file_id, regexp_replace(file_text, '//[^\n]*|/\*(?s:.*?)(\*/|\z)', '', 'g') AS code FROM files WHERE file_text IS NOT NULL",
     "prompt_build": _ONE + "SELECT file_id, '" + FRONT + "' || file_text || chr(10) || '" + END + "' AS prompt FROM files WHERE file_text IS NOT NULL AND NOT regexp_matches(file_text, '^" + _WHITE.replace(",", "") + "*$')",
     "hashed_files": _ONE + "SELECT sha256(file_text) AS id, any_value(strlen(file_text)) AS bytes FROM files WHERE file_text IS NOT NULL GROUP BY 1",
