@@ -135,9 +135,11 @@ class Batch:
         sizes = np.array([len(s) for s in found])
         self.sizes, self.begin = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         k = np.fromiter((x for s in found for x in s), np.int64, int(sizes.sum()))
-        h = np.array(words.hash, np.uint64)[k]
-        klass = np.array(words.klass, np.int64)[k]
-        uni = np.array(words.uni, np.uint64)[k]
+        own, k = np.unique(k, return_inverse=True)
+        own = own.tolist()
+        h = np.array([words.hash[w] for w in own], np.uint64)[k]
+        klass = np.array([words.klass[w] for w in own], np.int64)[k]
+        uni = np.array([words.uni[w] for w in own], np.uint64).reshape(-1, Words.UNI)[k]
         owner = np.repeat(np.arange(len(found)), sizes)
         has = np.zeros((len(found), len(_NAMES) + 1), bool)
         has[owner, klass] = True
@@ -162,28 +164,27 @@ class Batch:
     def marginals(self, weights: np.ndarray, steps: np.ndarray) -> np.ndarray:
         """Probability of the tag of each token, by forward-backward over all sentences side by side. steps: scores of the
         transitions from and to the tag, [[out-out, out-in], [in-out, in-in]]."""
-        emit = weights[self.features].sum(1)
-        longest = int(self.sizes.max(initial=0))
-        n = len(self.sizes)
-        forward = np.zeros((longest, n, 2))
-        back = np.zeros((longest, n, 2))
-        scores = np.zeros((longest, n))
-        place = np.arange(len(emit)) - self.begin[self.owner]
-        scores[place, self.owner] = emit
-        alive = np.arange(longest)[:, None] < self.sizes[None, :]
-        forward[0, :, 1] = scores[0]
-        for t in range(1, longest):
-            x = np.logaddexp(forward[t - 1, :, 0, None] + steps[0], forward[t - 1, :, 1, None] + steps[1])
-            x[:, 1] += scores[t]
-            forward[t] = x
-        for t in range(longest - 2, -1, -1):
-            nxt = back[t + 1].copy()
-            nxt[:, 1] += scores[t + 1]
-            x = np.logaddexp(steps[None, :, 0] + nxt[:, 0, None], steps[None, :, 1] + nxt[:, 1, None])
-            back[t] = np.where(alive[t + 1][:, None], x, 0.0)
-        both = forward + back
-        p = 1 / (1 + np.exp(np.clip(both[..., 0] - both[..., 1], -50, 50)))
-        return p[place, self.owner]
+        odds = np.exp(np.clip(weights[self.features].sum(1), -40, 40))
+        (oo, oi), (io, ii) = np.exp(steps)
+        out = np.empty(len(odds))
+        order = np.argsort(self.sizes, kind="stable")
+        for part in np.array_split(order, max(1, len(order) // 500)):  # sentences of like length side by side
+            sizes, begin = self.sizes[part], self.begin[part]
+            longest = int(sizes.max(initial=0))
+            alive = np.arange(longest)[:, None] < sizes[None, :]
+            at = np.where(alive, begin[None, :] + np.arange(longest)[:, None], 0)
+            e = np.where(alive, odds[at], 1.0)
+            forward, back = np.ones((longest, len(part))), np.ones((longest, len(part)))
+            # only the ratio of the two states' sums is carried, so nothing overflows
+            forward[0] = e[0]
+            for t in range(1, longest):
+                forward[t] = e[t] * (oi + forward[t - 1] * ii) / (oo + forward[t - 1] * io)
+            for t in range(longest - 2, -1, -1):
+                x = e[t + 1] * back[t + 1]
+                back[t] = np.where(alive[t + 1], (io + ii * x) / (oo + oi * x), 1.0)
+            both = forward * back
+            out[at[alive]] = (both / (1 + both))[alive]
+        return out
 
     def sentence_scores(self, p: np.ndarray) -> np.ndarray:
         """Mean of the marginals over each sentence's tokens, the upper half of them counted: single tokens don't decide."""
