@@ -76,8 +76,9 @@ class Linker:
             share = []
             for link in (True, False):
                 total = sum(n for (f, _, k), n in self.seen.items() if f == field and k == link)
-                share.append((self.seen.get((field, level, link), 0) + 1e-6) / (total + 1e-3))
-            self.weights[field, level] = math.log2(share[0] / share[1])
+                share.append((self.seen.get((field, level, link), 0) + (1e-12 if field == "line" else 0.5)) / (total + 1))
+            weight = math.log2(share[0] / share[1])
+            self.weights[field, level] = weight if field == "line" else max(-8.0, min(8.0, weight))  # columns hint, lines decide
 
     def _score(self) -> Column:
         w = self.weights
