@@ -79,7 +79,9 @@ def provenance(seed: Column, others: Column) -> Column:
     return F.concat(F.lit("\n\n// "), seed, F.array_join(F.transform(others, lambda o: F.concat(F.lit("\n// "), o)), ""), F.lit("\n"))
 
 
-_BLANK, _BLANK_COMMA = re.compile(r"\s"), re.compile(r"[\s,]")
+#: Fixed value: Unicode white space, as a character class.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK, _BLANK_COMMA = re.compile(f"[{WHITE}]"), re.compile(f"[{WHITE},]")
 
 
 def find_stripped(haystack: str, needle: str, commas: bool = True, bound: int = LOCATED_BOUND, start: int = 0) -> list[tuple[int, int]]:

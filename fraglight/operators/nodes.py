@@ -80,9 +80,11 @@ def syntax_nodes(files: DataFrame, key: str, text: str) -> DataFrame:
                 rows = []
                 for r, source in enumerate(part.column(1).to_pylist()):
                     nodes = parse(source)
-                    width = [0]
-                    for c in source:
-                        width.append(width[-1] + len(c.encode("utf-8", "surrogatepass")))
+                    width: range | list[int] = range(len(source) + 1)
+                    if not source.isascii():
+                        width = [0]
+                        for c in source:
+                            width.append(width[-1] + len(c.encode("utf-8", "surrogatepass")))
                     depth: list[int] = []
                     for _, parent, *_ in nodes:
                         depth.append(0 if parent < 0 else depth[parent] + 1)

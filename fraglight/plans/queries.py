@@ -11,6 +11,7 @@ from fraglight.functions import families as fam
 from fraglight.functions import termination as term
 from fraglight.functions import text as tx
 from fraglight.operators import bundles, diagnostics, spans
+from fraglight.operators.locate import candidates
 from fraglight.operators.loglines import log_entries, parsed_lines
 from fraglight.operators.campaign import Campaign
 from fraglight.operators.mutate import PROFILES, attribute_mutants, branch, filled, finished, type_mutants, value_mutants
@@ -121,10 +122,11 @@ def fp_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every file with the snippets that its text may hold: those of the same seed."""
+    """Every file with the snippets of its seed that its text may hold."""
     files = _files(spark, d).filter("seed_file is not null and file_text is not null").select("file_id", "seed_file", "file_text")
     snippets = _snippets(spark, d).filter("filename is not null").select("snippet_id", F.col("filename").alias("seed_file"), "fragment", "deps")
-    return files.join(snippets, "seed_file")
+    pairs = candidates(files, snippets, "seed_file", "file_id", "file_text", "snippet_id", "fragment")
+    return pairs.join(files, "file_id").join(snippets.drop("seed_file"), "snippet_id")
 
 
 def fragment_locate(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +291,7 @@ def node_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotate_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """The kind that each snippet has where it stands in the files of its seed; null where it doesn't."""
+    """The kind that each snippet has in the files of its seed whose text may hold it; null where it doesn't stand or has none."""
     pairs = staged(_pairs(spark, d).filter("fragment is not null").select("file_id", "snippet_id", "file_text", "fragment"), "pairs")
     found = annotated(pairs, staged(_nodes(spark, d), "nodes"), "file_id", "file_text", "fragment", ["snippet_id"])
     return found.select("file_id", "snippet_id", "node_kind")
@@ -451,7 +453,7 @@ _ENDED = _ONE + """,
             WHEN 'Signal' THEN CASE signal WHEN 24 THEN 'CPU time limit exceeded (RLIMIT_CPU)' WHEN 9 THEN 'killed — possibly OOM (RLIMIT_AS) or external kill'
                 WHEN 6 THEN 'aborted — possibly OOM or assertion failure' WHEN 11 THEN 'segmentation fault' ELSE '' END ELSE '' END AS hint FROM moved)
 """
-_WHITE = r"[\s,\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]"
+_WHITE = r"[\s,\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 _LOCATE = _ONE + """,
     tight AS (SELECT file_id, seed_file, file_text, regexp_replace(file_text, '""" + _WHITE + """', '', 'g') AS h FROM files WHERE file_text IS NOT NULL),
     wanted AS (SELECT snippet_id, filename, deps, regexp_replace(fragment, '""" + _WHITE + """', '', 'g') AS w FROM snips WHERE fragment IS NOT NULL),

@@ -50,3 +50,21 @@ def test_campaign_goes_on(spark, tmp_path):
     got = [tuple(r) for r in again.log().orderBy("iter").collect()]
     assert got == [(0, 3, 2, 2, 2), (1, 3, 2, 1, 3), (2, 2, 1, 1, 4)]
     assert again.seen().count() == 4
+
+
+def test_candidates_hold_every_match(spark):
+    import random
+
+    from fraglight.operators.locate import candidates
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcé ,\n") for _ in range(n))
+    texts = [(k, k % 3, word(rng.randrange(0, 200))) for k in range(40)] + [(100, 1, None), (101, None, "abc")]
+    needles = [(k, k % 3, t[a : a + n]) for k in range(200) for t in [texts[rng.randrange(40)][2]] for a in [rng.randrange(0, len(t) + 1)] for n in [rng.randrange(0, 60)]]
+    needles += [(900, 1, None), (901, None, "a"), (902, 1, " ,")]
+    t = spark.createDataFrame(texts, "t int, seed int, body string")
+    n = spark.createDataFrame(needles, "n int, seed int, part string")
+    got = {tuple(r) for r in candidates(t, n, "seed", "t", "body", "n", "part").collect()}
+    plain = lambda x: x.replace(" ", "").replace(",", "").replace("\n", "")
+    want = {(a, b) for a, g, x in texts for b, h, y in needles if x is not None and y is not None and g == h and g is not None and plain(y) and plain(y) in plain(x)}
+    assert want <= got and want
