@@ -28,7 +28,7 @@ def place(location: Column) -> tuple[Column, Column, Column]:
     path = F.regexp_replace(F.regexp_replace(F.lower(location), r"\\", "/"), r"/(\./)*/*(\./)*", "/")
     where = r"(?:^|.*?[^\w-])((?:compiler|library)/[^\s:(),#]*?\.rs)\W*l?(\d+)?(?:\D+(\d+))?"
     part = lambda k: F.nullif(F.regexp_extract(path, where, k), F.lit(""))
-    return part(1), part(2).cast("bigint"), part(3).cast("bigint")
+    return part(1), part(2).try_cast("bigint"), part(3).try_cast("bigint")
 
 
 def _field_levels(gap: Column, near: Column, same_col: Column) -> list[Column]:

@@ -196,9 +196,9 @@ def test_jaccard(pairs):
 
 def test_places(spark):
     spelled = ["compiler/rustc_a/src/b.rs:10:2", "./compiler//rustc_a/src/b.rs:10", r"D:\ws\q\compiler\rustc_a\src\b.rs:10:9", "/rustc/0123abc/compiler/rustc_a/src/b.rs(10,2)", " COMPILER/RUSTC_A/SRC/B.RS#L10, "]
-    df = spark.createDataFrame([(s,) for s in [*spelled, "src/main.rs:3", "", None]], "l string")
+    df = spark.createDataFrame([(s,) for s in [*spelled, "src/main.rs:3", "", None, "compiler/a.rs:" + "9" * 40]], "l string")
     got = [tuple(r)[:2] for r in df.select(*place(F.col("l"))).collect()]
-    assert got == [("compiler/rustc_a/src/b.rs", 10)] * 5 + [(None, None)] * 3
+    assert got == [("compiler/rustc_a/src/b.rs", 10)] * 5 + [(None, None)] * 3 + [("compiler/a.rs", None)]
 
 
 def history(rng):
