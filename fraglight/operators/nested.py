@@ -143,7 +143,7 @@ def _rows(texts: list[bytes]) -> Iterator[tuple]:
 def complete(text: str) -> bool:
     try:
         json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return True
 
@@ -154,7 +154,7 @@ def nested_children(df: DataFrame, key: str, body: str) -> DataFrame:
 
     Positions are those in the lists as written: null items give no row but keep theirs. A single value in place of a
     list is a list of one; a missing or null list is empty. Fences, an outer object, case, hyphens and underscores of keys
-    make no difference; of a repeated key the last counts. A body that isn't one complete JSON value, a null or empty one
+    make no difference; of a repeated key the last counts. A body that isn't one complete JSON value (or is nested too deep to read), a null or empty one
     and a null key give no rows; repeated rows count once. Other columns are ignored, whatever their names."""
     kind = df.schema[key].dataType.simpleString()
     schema = pa.schema([("child", pa.string()), ("frag_no", pa.int64()), ("item_no", pa.int64()), ("text", pa.string()), ("node_kind", pa.string())])

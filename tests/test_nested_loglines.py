@@ -22,7 +22,7 @@ def test_shapes(spark):
 
 
 def test_nothing(spark):
-    assert children(spark, None, "", "null", "[]", "{}", '{"fragments": null}', '{"fragments": [', "prose", '{"fragments": [{"fragment": "x"}]', "```json\n```", '{"a": 1}') == []
+    assert children(spark, None, "", "null", "[]", "{}", '{"fragments": null}', '{"fragments": [', "prose", '{"fragments": [{"fragment": "x"}]', "```json\n```", '{"a": 1}', "[" * 200_000 + "]" * 200_000) == []
     assert nested_children(spark.createDataFrame([], SCHEMA), "output_id", "body").count() == 0
 
 
