@@ -23,18 +23,29 @@ PLACES = 2
 
 @dataclass(frozen=True)
 class Config:
-    """Shares in percent: of mutants by splicing, else of types, values and attributes."""
+    """Shares in percent: of mutants by splicing, else of types, values and attributes; of mutants that get the dependencies of
+    their snippets. Snippets come from both domains (sources and fragments), or from sources only."""
 
     splice: int = 96
     types: int = 60
     values: int = 10
     attributes: int = 30
     placeholders: bool = True
+    dependencies: int = 100
+    both: bool = True
     per_seed: int = 10
 
 
-#: Profiles that leave one feature out.
-PROFILES = {"full": Config(), "no_placeholders": Config(placeholders=False), "splice_only": Config(splice=100), "edits_only": Config(splice=0)}
+#: Profiles that leave features out; their names are fixed values, but for full and edits_only.
+PROFILES = {
+    "full": Config(),
+    "source-only": Config(both=False),
+    "source-only-no-other": Config(both=False, placeholders=False, dependencies=0),
+    "source-only-no-other-no-misc": Config(both=False, placeholders=False, dependencies=0, splice=100),
+    "no-dep-plc-misc": Config(placeholders=False, dependencies=0, splice=100),
+    "half-dep-prob": Config(dependencies=50),
+    "edits_only": Config(splice=0),
+}
 
 
 def branch(config: Config, *key: Column) -> Column:
@@ -80,7 +91,7 @@ def attribute_mutants(nodes: DataFrame, files: DataFrame, key: str, text: str, a
 def fill(fragment: str, pairs: list[tuple[str, str]]) -> str:
     """A fragment with placeholders replaced in turn, at most PLACES of each, none inside a word; later ones see earlier ones."""
     for name, new in pairs:
-        spans = find_stripped(fragment, name, commas=False, bound=PLACES + 1)
+        spans = find_stripped(fragment, name, bound=PLACES + 1)
         raw = fragment.encode()
         for s, e in reversed(spans):
             before, after = raw[:s].decode()[-1:], raw[e:].decode()[:1]
@@ -103,7 +114,12 @@ def filled(df: DataFrame, fragment: str, names: str, values: str, out: str = "fi
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(out, StringType()))
 
 
-def finished(mutants: DataFrame, text: str, seed: Column, others: Column) -> DataFrame:
-    """Mutants without words that feign a crash, with their trailer and an id of their content; equal ones once."""
+def identified(mutants: DataFrame, text: str, seed: Column, others: Column) -> DataFrame:
+    """Mutants without words that feign a crash, with their trailer (content) and an id of it; equal ones have equal ids."""
     kept = mutants.filter(F.col(text).isNotNull() & ~contains_any(F.col(text), FALSE_POSITIVES)).withColumn("content", F.concat(text, provenance(seed, others)))
-    return kept.withColumn("id", F.sha2("content", 256)).dropDuplicates(["id"])
+    return kept.withColumn("id", F.sha2("content", 256))
+
+
+def finished(mutants: DataFrame, text: str, seed: Column, others: Column) -> DataFrame:
+    """Those, equal ones once."""
+    return identified(mutants, text, seed, others).dropDuplicates(["id"])

@@ -18,6 +18,7 @@ from fraglight.operators.mutate import PROFILES, attribute_mutants, branch, fill
 from fraglight.operators.nested import nested_children
 from fraglight.operators.nodes import annotated, structures, syntax_nodes
 from fraglight.operators.ranking import indexed, pick
+from fraglight.operators.splicing import attempts, drawn_slots, drawn_snippets, mutants, snippet_pool
 from fraglight.sources.files import by_content
 from fraglight.sources.tables import new_path, staged, table
 from fraglight.streaming.dedup import exploded, file_stream, first_seen
@@ -311,6 +312,26 @@ def edit_mutants(spark: SparkSession, d: str) -> DataFrame:
     return finished(out.join(files.select("file_id", "seed_file"), "file_id"), "mutant", F.col("seed_file"), F.array().cast("array<string>")).select("file_id", "way", "id")
 
 
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).filter("file_text is not null and seed_file is not null").select("file_id", "seed_file", "file_text")
+
+
+def corpus_mutants(spark: SparkSession, d: str) -> DataFrame:
+    """Ten attempts at every file in the way that its hash gives: spliced with snippets of fitting families, their placeholders filled
+    and dependencies in front, or edited once."""
+    nodes = staged(structures(_nodes(spark, d)), "nodes")
+    made = mutants(nodes, _seeds(spark, d), _snippets(spark, d), table(spark, d, "deps"), PROFILES["full"], "file_id", "file_text", "seed_file")
+    return made.select("file_id", "attempt", "way", "id", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+def splice_draws(spark: SparkSession, d: str) -> DataFrame:
+    """How often snippets of each bucket and domain take the place of each kind of node."""
+    tries = attempts(_seeds(spark, d), "file_id", PROFILES["full"]).filter("way = 'splice'")
+    slots = drawn_slots(staged(structures(_nodes(spark, d)), "nodes"), tries, "file_id")
+    pool = snippet_pool(_snippets(spark, d).filter("fragment is not null"), "source", "kind", "snippet_id")
+    return drawn_snippets(slots, pool, PROFILES["full"]).groupBy("kind", "domain", "bucket").agg(F.count("*").alias("slots"), F.count_distinct("snippet_id").alias("snippets"))
+
+
 def placeholder_fill(spark: SparkSession, d: str) -> DataFrame:
     """Fragments with every second placeholder, by hash, filled with a name of the file."""
     got = _fragments(spark, d).filter("fragment is not null and placeholders is not null")
@@ -408,7 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ice_parse, ice_compiler, unique_locations, campaign_progress, termination_histogram, abnormal_runs, report_totals, report_lines,
         seed_filter, fp_filter, fragment_locate, fragment_locate_all, span_overlap_join, span_containment, kind_histogram, kind_previews,
         family_buckets, family_compat, family_with_parent, ingredient_join, plain_snippets, variant_matrix, dep_dictionary,
-        dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, node_kinds, annotate_kinds, edit_mutants, placeholder_fill, campaign_loop, comment_removal, prompt_build, hashed_files,
+        dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, node_kinds, annotate_kinds, edit_mutants, corpus_mutants, splice_draws, placeholder_fill, campaign_loop, comment_removal, prompt_build, hashed_files,
         crash_files, dropped_files, unseen_locations, iteration_log, stream_dedup, p5_found, p5_children, p6_found, p6_entries, p6_templates,
     )
 }
