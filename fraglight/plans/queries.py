@@ -111,6 +111,55 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("run_id", line.alias("line"))
 
 
+def debug_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of how the runs of each variant ended as a text; lines of rare ends only where there are some."""
+    ended = _ended(spark, d).join(_runs(spark, d).select("run_id", "variant_label"), "run_id").filter("variant_label is not null")
+    return bundles.ending_summary(ended, "variant_label").select("variant_label", "summary")
+
+
+def debug_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A line for each run that didn't end by itself: how it ended, its memory, and whether it crashed or ran out of memory."""
+    more = _runs(spark, d).select("run_id", "variant_label", "peak_rss_mb", (F.size(diagnostics.compiler_only(diagnostics.crashes(F.col("stderr")))) > 0).alias("is_ice"))
+    return _ended(spark, d).filter("kind <> 'Normal'").join(more, "run_id").select("run_id", bundles.ending_line().alias("line"))
+
+
+def file_locations(spark: SparkSession, d: str) -> DataFrame:
+    """The places at which each file crashed, all its variants together."""
+    each = _crashes(spark, d).filter("file is not null").groupBy("file").agg(F.array_sort(F.collect_set("location")).alias("locations"))
+    return each.select("file", F.size("locations").cast("bigint").alias("n"), F.array_join("locations", "; ").alias("locations"))
+
+
+def kept_ices(spark: SparkSession, d: str) -> DataFrame:
+    """Crash files under the names that a campaign keeps them by, and whether one has a place that no file before it had."""
+    where = _files(spark, d).filter("campaign_id is not null and iter is not null").select("file", "campaign_id", "iter")
+    hit = _crashes(spark, d).join(where, "file").select("campaign_id", "iter", "file", "location").distinct()
+    firsts = diagnostics.first_sightings(hit, ["campaign_id", "location"], ["iter", "file"]).groupBy("campaign_id", "iter", "file").agg(F.count("*").alias("new_locations"))
+    every = hit.groupBy("campaign_id", "iter", "file").agg(F.count("*").alias("locations")).join(firsts, ["campaign_id", "iter", "file"], "left")
+    name = F.concat(F.lit("iter"), F.col("iter").cast("string"), F.lit("_"), F.substring_index("file", "/", -1))
+    return every.select("campaign_id", name.alias("name"), "file", "locations", F.coalesce("new_locations", F.lit(0)).alias("new_locations"))
+
+
+def fragment_records(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of each kind as records; those of several files stand once for each."""
+    each = _snippets(spark, d).filter("fragment is not null and kind is not null").select("filename", "kind", "fragment").distinct()
+    return each.select("fragment", F.col("kind").alias("node_kind"))
+
+
+def answer_match(spark: SparkSession, d: str) -> DataFrame:
+    """How many answers have a source of their name, have none, or can't be read."""
+    body = F.regexp_replace("body", r"(?s)\A\s*```[a-z]*\s*|\s*```\s*\z", "")
+    answers = table(spark, d, "llm_outputs").filter("output_id is not null").dropDuplicates(["output_id"]).select("rel", F.try_parse_json(body).isNotNull().alias("readable"))
+    sources = _files(spark, d).filter("seed_file is not null").select(F.col("seed_file").alias("rel"), F.lit(True).alias("known")).distinct()
+    status = F.when(~F.col("readable"), "unreadable").when(F.col("known"), "matched").otherwise("no source")
+    return answers.join(sources, "rel", "left").groupBy(status.alias("status")).agg(F.count("*").alias("answers"))
+
+
+def synced_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """How many seeds have fragments, and how many have none."""
+    counted = ingredient_join(spark, d)
+    return counted.agg(F.count("*").alias("seeds"), F.count_if(F.col("fragments") > 0).alias("with_fragments"), F.coalesce(F.sum("fragments"), F.lit(0)).alias("fragments"))
+
+
 def seed_filter(spark: SparkSession, d: str) -> DataFrame:
     """Files that may be seeds."""
     kept = _files(spark, d).filter(F.col("file_text").isNotNull())
@@ -427,6 +476,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ice_parse, ice_compiler, unique_locations, campaign_progress, termination_histogram, abnormal_runs, report_totals, report_lines,
+        debug_summary, debug_lines, file_locations, kept_ices, fragment_records, answer_match, synced_seeds,
         seed_filter, fp_filter, fragment_locate, fragment_locate_all, span_overlap_join, span_containment, kind_histogram, kind_previews,
         family_buckets, family_compat, family_with_parent, ingredient_join, plain_snippets, variant_matrix, dep_dictionary,
         dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, node_kinds, annotate_kinds, edit_mutants, corpus_mutants, splice_draws, placeholder_fill, campaign_loop, comment_removal, prompt_build, hashed_files,
@@ -515,6 +565,29 @@ SQL: dict[str, str] = {
                any_value(coalesce(places.n, 0)) AS unique_locations FROM per p LEFT JOIN places USING (variant_label) WHERE p.variant_label IS NOT NULL GROUP BY p.variant_label""",
     "report_lines": _ICE + """SELECT run_id, 'ICE ' || coalesce(any_value(file), '?') || ' [' || coalesce(any_value(variant_label), '?') || '] ' ||
         string_agg(DISTINCT location, '; ' ORDER BY location) AS line FROM inside JOIN runs USING (run_id) GROUP BY run_id""",
+    "debug_summary": _ENDED + """, e AS (SELECT r.variant_label, ended.* FROM ended JOIN runs r USING (run_id) WHERE r.variant_label IS NOT NULL),
+        sig AS (SELECT variant_label, string_agg('    ' || label || ': ' || n || chr(10), '' ORDER BY signal) AS lines FROM
+                (SELECT variant_label, signal, label, count(*) AS n FROM e WHERE kind = 'Signal' GROUP BY ALL) GROUP BY variant_label),
+        c AS (SELECT variant_label, count(*) AS total, count(*) FILTER (kind = 'Normal') AS normal, count(*) FILTER (kind = 'WallTimeout') AS wall, count(*) FILTER (kind = 'MemoryExceeded') AS memory,
+                     count(*) FILTER (kind = 'Signal') AS signals, count(*) FILTER (kind = 'SpawnFailed') AS spawn, count(*) FILTER (kind = 'Unknown') AS unknown, count(*) FILTER (oom) AS oom FROM e GROUP BY variant_label)
+        SELECT c.variant_label, '  Total runs:         ' || total || chr(10) || '  Completed normally: ' || normal || chr(10) || '  Wall-clock timeout: ' || wall || chr(10) ||
+            '  Memory exceeded:    ' || memory || chr(10) || '  Killed by signal:   ' || signals || chr(10) || coalesce(sig.lines, '') ||
+            CASE WHEN spawn > 0 THEN '  Spawn failed:       ' || spawn || chr(10) ELSE '' END || CASE WHEN unknown > 0 THEN '  Unknown:            ' || unknown || chr(10) ELSE '' END ||
+            CASE WHEN oom > 0 THEN '  Stderr hints OOM:   ' || oom || chr(10) ELSE '' END AS summary FROM c LEFT JOIN sig USING (variant_label)""",
+    "debug_lines": _ICE + _ENDED.removeprefix(_ONE) + """, rss AS (SELECT run_id, any_value(peak_rss_mb) AS mb FROM outcomes GROUP BY run_id)
+        SELECT run_id, coalesce(e.file, '?') || ' [' || coalesce(r.variant_label, '?') || '] [' || label || ']' || CASE WHEN hint <> '' THEN ' — ' || hint ELSE '' END ||
+            CASE WHEN mb IS NOT NULL THEN ' peak_rss=' || mb || 'MB' ELSE '' END || CASE WHEN run_id IN (SELECT run_id FROM inside) THEN ' ICE' ELSE '' END ||
+            CASE WHEN oom THEN ' (stderr suggests OOM)' ELSE '' END AS line FROM ended e JOIN runs r USING (run_id) LEFT JOIN rss USING (run_id) WHERE kind <> 'Normal'""",
+    "file_locations": _ICE + """, f AS (SELECT DISTINCT file, location FROM inside JOIN runs USING (run_id) WHERE file IS NOT NULL)
+        SELECT file, count(*) AS n, string_agg(location, '; ' ORDER BY encode(location)) AS locations FROM f GROUP BY file""",
+    "kept_ices": _ICE + """, hit AS (SELECT DISTINCT campaign_id, iter, file, location FROM inside JOIN runs USING (run_id) JOIN files USING (file) WHERE campaign_id IS NOT NULL AND iter IS NOT NULL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY campaign_id, location ORDER BY iter, encode(file)) = 1 AS first FROM hit)
+        SELECT campaign_id, 'iter' || iter || '_' || regexp_replace(file, '.*/', '') AS name, file, count(*) AS locations, count(*) FILTER (first) AS new_locations FROM ranked GROUP BY campaign_id, iter, file""",
+    "fragment_records": _ONE + "SELECT fragment, kind AS node_kind FROM (SELECT DISTINCT filename, kind, fragment FROM snips WHERE fragment IS NOT NULL AND kind IS NOT NULL)",
+    "answer_match": _ONE + r""", o AS (SELECT output_id, any_value(rel) AS rel, any_value(regexp_replace(body, '\A\s*```[a-z]*\s*|\s*```\s*\z', '', 'gs')) AS body FROM llm_outputs WHERE output_id IS NOT NULL GROUP BY output_id)
+        SELECT CASE WHEN NOT coalesce(json_valid(body), false) THEN 'unreadable' WHEN rel IN (SELECT seed_file FROM files WHERE seed_file IS NOT NULL) THEN 'matched' ELSE 'no source' END AS status, count(*) AS answers FROM o GROUP BY 1""",
+    "synced_seeds": _ONE + """, n AS (SELECT rel, count(*) AS n FROM frags GROUP BY rel), j AS (SELECT seed_file, coalesce(n, 0) AS n FROM (SELECT DISTINCT seed_file FROM files WHERE seed_file IS NOT NULL) LEFT JOIN n ON seed_file = rel)
+        SELECT count(*) AS seeds, count(*) FILTER (n > 0) AS with_fragments, coalesce(sum(n), 0)::BIGINT AS fragments FROM j""",
     "seed_filter": _ONE + """, cut AS (SELECT file_id, file, file_text, string_split_regex(regexp_replace(file_text, '\\r?\\n\\z', ''), '\\r?\\n') AS each FROM files WHERE file_text IS NOT NULL)
         SELECT file_id FROM cut WHERE len(each) <= 40 AND len(list_filter(each, lambda x: length(x) > 140)) = 0
         AND NOT (contains(file_text, 'no_core') OR contains(file_text, 'lang_items') OR contains(file_text, 'mir!(') OR contains(file_text, 'break rust')
