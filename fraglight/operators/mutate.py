@@ -24,7 +24,8 @@ PLACES = 2
 @dataclass(frozen=True)
 class Config:
     """Shares in percent: of mutants by splicing, else of types, values and attributes; of mutants that get the dependencies of
-    their snippets. Snippets come from both domains (sources and fragments), or from sources only."""
+    their snippets; of slots that take a snippet of any bucket; of snippets that are left empty. Snippets come from both domains
+    (sources and fragments), or from sources only. Passes are numbers of slots, each of which has as many attempts."""
 
     splice: int = 96
     types: int = 60
@@ -32,11 +33,14 @@ class Config:
     attributes: int = 30
     placeholders: bool = True
     dependencies: int = 100
+    chaotic: int = 10
+    deleted: int = 10
     both: bool = True
+    passes: tuple[int, ...] = ()
     per_seed: int = 10
 
 
-#: Profiles that leave features out; their names are fixed values, but for full and edits_only.
+#: Profiles that leave features out; their names are fixed values, but for full, baseline and edits_only.
 PROFILES = {
     "full": Config(),
     "source-only": Config(both=False),
@@ -44,6 +48,7 @@ PROFILES = {
     "source-only-no-other-no-misc": Config(both=False, placeholders=False, dependencies=0, splice=100),
     "no-dep-plc-misc": Config(placeholders=False, dependencies=0, splice=100),
     "half-dep-prob": Config(dependencies=50),
+    "baseline": Config(both=False, placeholders=False, dependencies=0, splice=100, chaotic=30, passes=tuple(range(2, 10))),
     "edits_only": Config(splice=0),
 }
 

@@ -23,8 +23,12 @@ ITEMS = {
     "macro_rules": "macro_definition",
 }
 BRACKETS = {"{": "block", "(": "arguments", "[": "array_expression"}
-#: Kinds that are punctuation, comments or keywords, and aren't structures of their own.
-SYNTACTIC = ["line_comment", "block_comment", "block", "(", ")", "{", "}", "[", "]", ",", ":", ";", "::", "|", "->", "=>", ".", "..", "fn", "let", "impl", "struct", "use", "where", "for", "in", "if", "else", "match", "while", "loop"]
+#: Kinds that are punctuation, comments or keywords, and blocks: they aren't structures of their own.
+SYNTACTIC = [
+    "block", "line_comment", "block_comment",
+    "(", ")", "{", "}", "[", "]", "\"", "#", "!", "//", "'", ",", ":", ";", "::", "|", "->", "=>", ".", "..", "...", "/*", "*/",
+    "fn", "else", "for", "if", "impl", "in", "let", "loop", "match", "mod", "pub", "struct", "trait", "unsafe", "type", "use", "where", "while",
+]
 _TOKEN = re.compile(
     r"""(?P<line_comment>//[^\n]*)|(?P<block_comment>/\*.*?(?:\*/|\Z))|(?P<raw_string_literal>r(?P<hashes>\#*)".*?"(?P=hashes))|(?P<string_literal>b?"(?:[^"\\]|\\.)*")"""
     r"""|(?P<char_literal>'(?:[^'\\\n]|\\.)')|(?P<lifetime>'\w+)|(?P<float_literal>\d[\d_]*\.\d[\w]*)|(?P<integer_literal>\d\w*)"""

@@ -18,10 +18,8 @@ from fraglight.operators.mutate import Config, attribute_mutants, branch, filled
 from fraglight.operators.ranking import indexed, pick
 from fraglight.sources.tables import staged
 
-#: Slots that a mutant has at most.
+#: Slots that a mutant has at most, unless the config names passes.
 SLOTS = 3
-#: Percent of slots that take a snippet of any bucket, and of snippets that are left empty.
-CHAOTIC, DELETED = 10, 10
 _SPAN = "struct<s:bigint,e:bigint,kind:string>"
 
 
@@ -37,14 +35,15 @@ def attempts(files: DataFrame, key: str, config: Config) -> DataFrame:
     return named.withColumn("way", branch(config, F.col("attempt")))
 
 
-def drawn_slots(nodes: DataFrame, tries: DataFrame, key: str) -> DataFrame:
-    """(attempt, key, n, s, e, kind): one slot (3 of 7 attempts), two (3 of 7) or three of each, no two of which overlap. In each
-    round the least hash of those left is drawn, by an aggregate. Attempts at sources without nodes have no slot, and there are
+def drawn_slots(nodes: DataFrame, tries: DataFrame, key: str, config: Config = Config()) -> DataFrame:
+    """(attempt, key, n, s, e, kind): one slot (3 of 7 attempts), two (3 of 7) or three of each, or one of the config's passes, each
+    as often; no two of an attempt overlap. In each round the least hash of those left is drawn, by an aggregate. Attempts at sources without nodes have no slot, and there are
     fewer slots where nothing is left."""
     left = nodes.filter("s < e").select(key, "node_id", "s", "e", "kind")
-    draw = F.pmod(pick(F.col("attempt"), F.lit("times")), F.lit(7))
-    state = tries.select(key, "attempt", F.when(draw < 3, 1).when(draw < 6, 2).otherwise(SLOTS).alias("times"), F.array().cast(f"array<{_SPAN}>").alias("taken"))
-    for n in range(SLOTS):
+    draw = F.pmod(pick(F.col("attempt"), F.lit("times")), F.lit(len(config.passes) or 7))
+    times = F.get(F.array(*map(F.lit, config.passes)), draw.cast("int")) if config.passes else F.when(draw < 3, 1).when(draw < 6, 2).otherwise(SLOTS)
+    state = tries.select(key, "attempt", times.alias("times"), F.array().cast(f"array<{_SPAN}>").alias("taken"))
+    for n in range(max(config.passes, default=SLOTS)):
         free = ~F.exists("taken", lambda t: (t.s < F.col("e")) & (F.col("s") < t.e))
         rows = state.filter((F.col("times") > n) & (F.size("taken") == n)).join(left, key).filter(free)
         least = rows.groupBy("attempt").agg(F.min(F.struct(F.xxhash64("attempt", "node_id").alias("h"), "s", "e", "kind")).alias("m"))
@@ -69,7 +68,7 @@ def drawn_snippets(slots: DataFrame, pool: DataFrame, config: Config, base: str
     sizes = staged(pool.groupBy("domain", "bucket").agg(F.count("*").alias("size")), "sizes")
     numbered = indexed(sizes, ["bucket"], ["domain"], "b").select("domain", "b", F.col("bucket").alias("any"))
     asked = asked.join(sizes.groupBy("domain").agg(F.count("*").alias("buckets")), "domain", "left")
-    asked = asked.withColumn("b", F.when(below(CHAOTIC, *spot, F.lit("chaos")), F.coalesce(F.pmod(pick(*spot, F.lit("any")), F.col("buckets")), F.lit(-1))))
+    asked = asked.withColumn("b", F.when(below(config.chaotic, *spot, F.lit("chaos")), F.coalesce(F.pmod(pick(*spot, F.lit("any")), F.col("buckets")), F.lit(-1))))
     asked = asked.join(numbered, ["domain", "b"], "left").withColumn("bucket", F.when(F.col("b").isNull(), F.col("own")).otherwise(F.col("any")))
     basic = sizes.filter(F.col("domain") == base).select("bucket", F.col("size").alias("base_size"))
     asked = asked.join(sizes, ["domain", "bucket"], "left").join(basic, "bucket", "left")
@@ -105,7 +104,7 @@ def spliced(nodes: DataFrame, files: DataFrame, tries: DataFrame, snippets: Data
     the files the snippets come from. snippets has snippet_id, filename, kind, fragment, deps, placeholders and source (its
     domain); deps has dep_id and dep. Null fragments are never drawn; attempts without a snippet, and empty mutants, give none."""
     usable = snippets.filter("fragment is not null")
-    drawn = drawn_snippets(drawn_slots(nodes, tries, key), snippet_pool(usable, "source", "kind", "snippet_id"), config)
+    drawn = drawn_snippets(drawn_slots(nodes, tries, key, config), snippet_pool(usable, "source", "kind", "snippet_id"), config)
     drawn = staged(drawn.withColumnRenamed("kind", "slot_kind").join(usable.select("snippet_id", "filename", "fragment", "deps", "placeholders"), "snippet_id"), "drawn")
     parts = drawn.select("attempt", key, "n", "s", "e", "filename", "fragment")
     if config.placeholders:
@@ -113,7 +112,7 @@ def spliced(nodes: DataFrame, files: DataFrame, tries: DataFrame, snippets: Data
         parts = filled(parts.join(values, ["attempt", "n"], "left"), "fragment", "names", "values", "t")
     else:
         parts = parts.withColumn("t", F.col("fragment"))
-    part = F.when(below(DELETED, F.col("attempt"), F.col("n").cast("string"), F.lit("delete")), "").otherwise(F.col("t"))
+    part = F.when(below(config.deleted, F.col("attempt"), F.col("n").cast("string"), F.lit("delete")), "").otherwise(F.col("t"))
     edits = parts.groupBy("attempt", key).agg(F.collect_list(F.struct("s", "e", part.alias("t"))).alias("edits"), F.array_sort(F.collect_list(F.struct("n", "filename"))).alias("from"))
     made = edits.join(files.select(key, text), key).select("attempt", key, splice(F.col(text), F.col("edits")).alias("mutant"), F.filter("from.filename", lambda f: f.isNotNull()).alias("others"))
     made = made.filter("mutant <> ''")

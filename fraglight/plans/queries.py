@@ -25,8 +25,6 @@ from fraglight.streaming.dedup import exploded, file_stream, first_seen
 
 VARIANTS = [("emit-mir", ["--emit=mir"]), ("opt", ["-Copt-level=3"]), ("plain", [])]
 FRONT, END = "Collect the fragments of this program.\n\n```\n", "```\n\nAnswer with one JSON object.\n"
-#: Seeds whose path contains one of these are left out in the queries.
-EXCEPTIONS = ["icemaker", "closures/issue-72408", "recursion/issue-86784", "library/core/src/lib.rs"]
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +161,7 @@ def synced_seeds(spark: SparkSession, d: str) -> DataFrame:
 def seed_filter(spark: SparkSession, d: str) -> DataFrame:
     """Files that may be seeds."""
     kept = _files(spark, d).filter(F.col("file_text").isNotNull())
-    return kept.filter(~tx.seed_ignored(F.col("file_text"), F.col("file"), EXCEPTIONS, lines=40, width=140)).select("file_id")
+    return kept.filter(~tx.seed_ignored(F.col("file_text"), F.col("file"))).select("file_id")
 
 
 def fp_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -373,6 +371,13 @@ def corpus_mutants(spark: SparkSession, d: str) -> DataFrame:
     return made.select("file_id", "attempt", "way", "id", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
+def baseline_mutants(spark: SparkSession, d: str) -> DataFrame:
+    """Ten attempts at every file with two to nine slots, a third of them chaotic, nothing else adapted."""
+    nodes = staged(structures(_nodes(spark, d)), "nodes")
+    made = mutants(nodes, _seeds(spark, d), _snippets(spark, d), table(spark, d, "deps"), PROFILES["baseline"], "file_id", "file_text", "seed_file")
+    return made.select("file_id", "attempt", "id", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
 def splice_draws(spark: SparkSession, d: str) -> DataFrame:
     """How often snippets of each bucket and domain take the place of each kind of node."""
     tries = attempts(_seeds(spark, d), "file_id", PROFILES["full"]).filter("way = 'splice'")
@@ -479,7 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         debug_summary, debug_lines, file_locations, kept_ices, fragment_records, answer_match, synced_seeds,
         seed_filter, fp_filter, fragment_locate, fragment_locate_all, span_overlap_join, span_containment, kind_histogram, kind_previews,
         family_buckets, family_compat, family_with_parent, ingredient_join, plain_snippets, variant_matrix, dep_dictionary,
-        dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, node_kinds, annotate_kinds, edit_mutants, corpus_mutants, splice_draws, placeholder_fill, campaign_loop, comment_removal, prompt_build, hashed_files,
+        dependency_prefixes, tolerant_json, slot_sampling, splice_mutants, multi_splice, node_kinds, annotate_kinds, edit_mutants, corpus_mutants, baseline_mutants, splice_draws, placeholder_fill, campaign_loop, comment_removal, prompt_build, hashed_files,
         crash_files, dropped_files, unseen_locations, iteration_log, stream_dedup, p5_found, p5_children, p6_found, p6_entries, p6_templates,
     )
 }
@@ -589,10 +594,10 @@ SQL: dict[str, str] = {
     "synced_seeds": _ONE + """, n AS (SELECT rel, count(*) AS n FROM frags GROUP BY rel), j AS (SELECT seed_file, coalesce(n, 0) AS n FROM (SELECT DISTINCT seed_file FROM files WHERE seed_file IS NOT NULL) LEFT JOIN n ON seed_file = rel)
         SELECT count(*) AS seeds, count(*) FILTER (n > 0) AS with_fragments, coalesce(sum(n), 0)::BIGINT AS fragments FROM j""",
     "seed_filter": _ONE + """, cut AS (SELECT file_id, file, file_text, string_split_regex(regexp_replace(file_text, '\\r?\\n\\z', ''), '\\r?\\n') AS each FROM files WHERE file_text IS NOT NULL)
-        SELECT file_id FROM cut WHERE len(each) <= 40 AND len(list_filter(each, lambda x: length(x) > 140)) = 0
+        SELECT file_id FROM cut WHERE len(each) <= 400 AND len(list_filter(each, lambda x: length(x) > 1000)) = 0
         AND NOT (contains(file_text, 'no_core') OR contains(file_text, 'lang_items') OR contains(file_text, 'mir!(') OR contains(file_text, 'break rust')
                  OR (contains(file_text, 'failure-status: 101') AND contains(file_text, 'known-bug')))
-        AND NOT (""" + " OR ".join(f"contains(file, '{e}')" for e in EXCEPTIONS) + ")",
+        AND NOT (""" + " OR ".join(f"contains(file, '{e}')" for e in tx.SEED_PATHS) + ")",
     "fp_filter": _ONE + ", t AS (SELECT file_id, file_text AS text FROM files WHERE file_text IS NOT NULL) SELECT file_id FROM t WHERE " + _FALSE,
     "fragment_locate": _LOCATE + "SELECT file_id, snippet_id, s, e FROM located",
     "span_containment": _LOCATE + """, nodes AS (SELECT file_id, s, e, 'line' AS kind, 1 AS depth FROM rows_

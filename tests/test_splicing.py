@@ -52,6 +52,13 @@ def test_slots_equal_greedy_draws(spark, given):
     assert got == want and {len(v) for v in got.values()} == {1, 2, 3}
 
 
+def test_passes(spark, given):
+    files, nodes, *_ = given
+    tries = sp.attempts(files.filter("file_id = 1"), "file_id", Config(per_seed=40))
+    got = [r["count"] for r in sp.drawn_slots(nodes, tries, "file_id", Config(passes=(2, 3))).groupBy("attempt").count().collect()]
+    assert set(got) <= {1, 2, 3} and {2, 3} <= set(got)  # one only where that covers everything
+
+
 @pytest.mark.parametrize("both", [True, False])
 def test_snippets_fit_their_slots(spark, given, both):
     files, nodes, snippets, _ = given
