@@ -20,6 +20,8 @@ from fraglight.sources.tables import staged
 
 #: Slots that a mutant has at most, unless the config names passes.
 SLOTS = 3
+#: Bits of a number that hold a node of one text.
+NODE_BITS = 28
 _SPAN = "struct<s:bigint,e:bigint,kind:string>"
 
 
@@ -46,9 +48,12 @@ def drawn_slots(nodes: DataFrame, tries: DataFrame, key: str, config: Config = C
     for n in range(max(config.passes, default=SLOTS)):
         free = ~F.exists("taken", lambda t: (t.s < F.col("e")) & (F.col("s") < t.e))
         rows = state.filter((F.col("times") > n) & (F.size("taken") == n)).join(left, key).filter(free)
-        least = rows.groupBy("attempt").agg(F.min(F.struct(F.xxhash64("attempt", "node_id").alias("h"), "s", "e", "kind")).alias("m"))
-        more = F.when(F.col("m").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.struct("m.s", "m.e", "m.kind")))
-        state = staged(state.join(least, "attempt", "left").select(key, "attempt", "times", more.alias("taken")), "slots")
+        # hash and node in one number: the least of numbers is a hash aggregate, that of structs sorts all rows
+        ticket = F.shiftleft(F.xxhash64("attempt", "node_id").bitwiseAND((1 << 63 - NODE_BITS) - 1), NODE_BITS) + F.col("node_id")
+        least = rows.groupBy(key, "attempt").agg(F.min(ticket).bitwiseAND((1 << NODE_BITS) - 1).alias("node_id"))
+        span = least.join(left, [key, "node_id"]).select("attempt", F.struct("s", "e", "kind").alias("m"))
+        more = F.when(F.col("m").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("m")))
+        state = staged(state.join(span, "attempt", "left").select(key, "attempt", "times", more.alias("taken")), "slots")
     return state.select("attempt", key, F.posexplode("taken").alias("n", "t")).select("attempt", key, "n", "t.s", "t.e", "t.kind")
 
 

@@ -360,7 +360,8 @@ def edit_mutants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).filter("file_text is not null and seed_file is not null").select("file_id", "seed_file", "file_text")
+    kept = _files(spark, d).filter("file_text is not null and seed_file is not null")
+    return kept.filter(~tx.seed_ignored(F.col("file_text"), F.col("file"))).select("file_id", "seed_file", "file_text")
 
 
 def corpus_mutants(spark: SparkSession, d: str) -> DataFrame:
