@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraglight.functions.text import located, without_comments
+from fraglight.sources.tables import staged
 
 # Fixed values.
 PRIMITIVES = "i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str".split()
@@ -130,14 +131,28 @@ def decided_kind(kind: str = "kind", exact: str = "exact", parent: str = "parent
 
 
 def annotated(pairs: DataFrame, nodes: DataFrame, on: str, source: str, fragment: str, key: list[str]) -> DataFrame:
-    """(on, key, node_kind) of each pair of a source and a fragment: of its places the first with a type_identifier, else the first
-    with a kind. A fragment that isn't there is looked for without its comments; one that isn't there either has a null kind."""
-    first = located(pairs, source, fragment, [on, *key], commas=True, bound=20)
-    bare = pairs.withColumn(fragment, without_comments(F.col(fragment))).join(first.select(on, *key).distinct(), [on, *key], "left_anti")
-    found = first.unionByName(located(bare, source, fragment, [on, *key], commas=True, bound=20))
-    spans = found.select(on, *key, "match_no", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    kinds = inclusion(nodes, spans, on, [*key, "match_no"]).withColumn("node_kind", decided_kind()).filter("node_kind is not null")
-    best = kinds.groupBy(on, *key).agg(F.min_by("node_kind", F.struct(F.col("node_kind") != "type_identifier", "match_no")).alias("node_kind"))
-    return pairs.select(on, *key).distinct().join(best, [on, *key], "left")
-
-
+    """(on, key, node_kind, stands) of each pair of a source and a fragment: of its places the first with a type_identifier, else the
+    first with a kind. A fragment without a kind there is looked for in the source without comments (its first place counts), then
+    without its own comments in either. One that stands nowhere has a null kind, as has one whose places have none."""
+    bare = lambda df, *columns: df.withColumns({c: without_comments(F.col(c)) for c in columns})
+
+    def places(some: DataFrame, rank: int, bound: int = 20) -> DataFrame:
+        found = located(some, source, fragment, [on, *key], commas=True, bound=bound)
+        return found.select(on, *key, F.lit(rank).alias("rank"), "match_no", F.col("s").alias("s2"), F.col("e").alias("e2"))
+
+    def best(kinds: DataFrame) -> DataFrame:
+        order = F.struct(F.col("node_kind").isNull(), "rank", F.col("node_kind") != "type_identifier", "match_no")
+        return kinds.groupBy(on, *key).agg(F.min_by(F.struct("rank", "node_kind", "match_no"), order).alias("x")).select(on, *key, "x.*")
+
+    def kinds(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+        return best(inclusion(nodes, spans, on, [*key, "rank", "match_no"]).withColumn("node_kind", decided_kind()).select(on, *key, "rank", "match_no", "node_kind"))
+
+    first = staged(kinds(nodes, places(pairs, 0)), "kinds")
+    left = staged(pairs.join(first.filter("node_kind is not null").select(on, *key), [on, *key], "left_anti"), "left")
+    commented = bare(left.filter(F.col(source).rlike("//|/\\*")), source)
+    spans = staged(places(commented, 1, bound=2).unionByName(places(bare(commented, fragment), 3)), "spans")
+    sources = bare(left.select(on, source).dropDuplicates([on]).join(spans.select(on).distinct(), on, "left_semi"), source)
+    again = kinds(nodes, places(bare(left, fragment), 2)).unionByName(kinds(syntax_nodes(sources, on, source), spans))
+    decided = best(first.unionByName(again)).select(on, *key, "node_kind", F.lit(True).alias("_found"))
+    out = pairs.select(on, *key).distinct().join(decided, [on, *key], "left")
+    return out.select(on, *key, "node_kind", F.col("_found").isNotNull().alias("stands"))

@@ -339,10 +339,17 @@ def node_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotate_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """The kind that each snippet has in the files of its seed whose text may hold it; null where it doesn't stand or has none."""
-    pairs = staged(_pairs(spark, d).filter("fragment is not null").select("file_id", "snippet_id", "file_text", "fragment"), "pairs")
-    found = annotated(pairs, staged(_nodes(spark, d), "nodes"), "file_id", "file_text", "fragment", ["snippet_id"])
-    return found.select("file_id", "snippet_id", "node_kind")
+    """The kind that each snippet has in the files of its seed where it stands, with or without comments; null where it has none. A
+    snippet that stands in no file has one row, without a file and a kind."""
+    commented = F.col("fragment").rlike(r"//|/\*")
+    files = _files(spark, d).filter("seed_file is not null and file_text is not null").select("file_id", "seed_file", "file_text")
+    snippets = _snippets(spark, d).filter("fragment is not null").select("snippet_id", F.col("filename").alias("seed_file"), "fragment")
+    texts = files.withColumn("file_text", F.concat("file_text", F.lit("\u0000"), tx.without_comments(F.col("file_text"))))  # a gram of both is one key
+    needles = snippets.unionAll(snippets.filter(commented).withColumn("fragment", tx.without_comments(F.col("fragment"))))
+    held = candidates(texts, needles, "seed_file", "file_id", "file_text", "snippet_id", "fragment").distinct()
+    pairs = staged(held.join(files.drop("seed_file"), "file_id").join(snippets.drop("seed_file"), "snippet_id"), "pairs")
+    found = annotated(pairs, staged(_nodes(spark, d), "nodes"), "file_id", "file_text", "fragment", ["snippet_id"]).filter("stands")
+    return snippets.select("snippet_id").join(found, "snippet_id", "left").select("file_id", "snippet_id", "node_kind")
 
 
 def edit_mutants(spark: SparkSession, d: str) -> DataFrame:

@@ -23,6 +23,20 @@ def test_annotation(spark):
     assert got == {1: "use_declaration", 2: None, 3: "type_identifier", 4: "function_item"}
 
 
+def test_annotation_without_comments(spark, tmp_path):
+    from fraglight.plans.queries import annotate_kinds
+
+    files = [(1, "s", "fn main() { let x: Foo = new(1); }\nfn other() {}"), (2, "s", "struct A { /* of a */ long_name: u8, // b\n other_name: u16 }"), (3, "t", "fn far() {}")]
+    snippets = [
+        (1, "s", "/* a comment that no file has */ let x: Foo = new(1);"), (2, "s", "struct A { long_name: u8, other_name: u16 }"), (3, "s", "// other words\nlong_name: u8, other_name: u16"),
+        (4, "s", "absent from all files"), (5, "u", "fn far() {}"), (6, None, "fn far() {}"), (7, "t", "fn far() {}"), (8, "s", "//x\nA"), (9, "s", None),
+    ]
+    spark.createDataFrame(files, "file_id bigint, seed_file string, file_text string").write.parquet(f"{tmp_path}/mutant_files.parquet")
+    spark.createDataFrame([(*r, ["d"]) for r in snippets], "snippet_id bigint, filename string, fragment string, deps array<string>").write.parquet(f"{tmp_path}/snippets.parquet")
+    got = sorted((r.snippet_id, r.file_id, r.node_kind) for r in annotate_kinds(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "let_declaration"), (2, 2, "struct_item"), (3, 2, "identifier"), (4, None, None), (5, None, None), (6, None, None), (7, 3, "function_item"), (8, 2, "type_identifier")]
+
+
 def test_placeholders(spark):
     assert fill("let (mut x, mut y) = foo;", [("x", "a"), ("y", "b")]) == "let (mut a, mut b) = foo;"
     assert fill("let x: Box<i32> = Box::new(x);", [("x", "val")]).count("Boval") == 0
