@@ -109,7 +109,8 @@ class Linker:
         reach = links.groupBy("campaign", "file", "line").agg(F.min("first2").alias("reach"))
         kept = old.select("campaign", "file", "line", F.col("reach").alias("was"))
         new = merged.join(reach, ["campaign", "file", "line"], "left").join(kept, ["campaign", "file", "line"], "left")
-        new = new.select("campaign", "file", "line", "first", "col", F.coalesce("reach", "was", "first").alias("reach"), "bucket")
+        # a line of a neighbouring block may have its earliest link in a block that isn't read; sightings only get earlier
+        new = new.select("campaign", "file", "line", "first", "col", F.least("reach", "was", "first").alias("reach"), "bucket")
         new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{self.batches}")
         self.versions |= dict.fromkeys(touched, self.batches)
         if self.clusters is not None:

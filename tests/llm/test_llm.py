@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fraglight.llm import queries as llm
 from fraglight.llm.components import components
 from fraglight.llm.ledger import Ledger, canonical_key, formatting_ledger
-from fraglight.llm.linkage import link_history, place
+from fraglight.llm.linkage import Linker, link_history, place
 from fraglight.llm.mixing import mixed
 from fraglight.llm.neardup import jaccard, near_duplicate_groups
 from fraglight.llm.spans import shared_clusters, shared_spans
@@ -235,6 +235,17 @@ def test_linkage_with_late_rows(spark, batches):
     assert {k: v for k, v in linked.items() if k > 1} == {k: v for k, v in want.items() if k > 1}
 
 
+def test_linkage_keeps_links_to_blocks_not_read(spark):
+    rows = lambda *r: spark.createDataFrame([("c", "compiler/a.rs", line, None, it, 0) for line, it in r], "campaign string, file string, line bigint, col bigint, iter bigint, pos bigint")
+    linker = Linker(spark, buckets=1024)
+    history = [(line, 9) for line in range(100, 2000, 40)] + [(16, 1), (15, 5)]
+    linker.add(rows(*history))
+    assert [r.iter for r in linker.repeated(rows((15, 5))).collect()] == [5]
+    linker.add(rows((2, 7)))
+    assert [r.iter for r in linker.repeated(rows((15, 5))).collect()] == [5]
+    assert linker.known().count() == len(history) + 1
+
+
 def test_linkage_of_nothing(spark):
     s = spark.createDataFrame([], "campaign_id string, location string, first_iter bigint")
     i = spark.createDataFrame([], "campaign_id string, iter bigint, new_locations array<string>, logged_at timestamp")
