@@ -94,7 +94,7 @@ def tokens(line: str) -> tuple[list[str], dict[str, str]]:
         values.setdefault(kind, value)
 
     for m in _TOKEN.finditer(line):
-        if len(out) >= LOOKED_AT and not head:
+        if len(out) >= LOOKED_AT and not head and "structured" not in values:
             break
         kind, text = m.lastgroup, m.group()
         if not head:
@@ -142,7 +142,8 @@ def tokens(line: str) -> tuple[list[str], dict[str, str]]:
             out.append(text)
         if "level" in values and values.keys() & {"module", "src"} and "structured" not in values:
             head = False
-    return out[: LOOKED_AT * 2], values
+    late = dict.fromkeys(t for t in out[LOOKED_AT * 2 :] if t in _TYPED and t not in out[: LOOKED_AT * 2])  # the template has all types of the line
+    return out[: LOOKED_AT * 2] + list(late), values
 
 
 def common(a: list[str], b: list[str]) -> list[str]:

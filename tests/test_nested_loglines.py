@@ -83,6 +83,14 @@ def test_entries(spark):
     assert entries(spark, []) == []
 
 
+def test_late_level_and_target(spark):
+    many = " ".join(f"k{n}=v{n}" for n in range(60))
+    listed = ", ".join(f'"k{n}": "v{n}"' for n in range(60))
+    lines = [f"ts=2025-06-03T11:39:58Z {many} level=warn target=rustc_y::project msg=x", '{"timestamp": "2025-02-27T12:35:31.978Z", ' + listed + ', "level": "ERROR", "target": "rustc_z::v"}', f"ts=2025-06-03T11:39:58Z info: {many} target=rustc_w"]
+    got = entries(spark, [(1, "\n".join(lines), None, "", "", 1)])
+    assert got == [(1, 0, "warn", "rustc_y::project", "2025-06-03 11:39:58"), (1, 1, "error", "rustc_z::v", "2025-02-27 12:35:31"), (1, 2, "info", "rustc_w", "2025-06-03 11:39:58")]
+
+
 def test_messages_hold_their_details(spark):
     df = spark.createDataFrame([(1, "error: a\n  b\nc", None)], "run_id bigint, stderr string, at timestamp")
     assert log_entries(df, "run_id", "stderr", "at").first().message == "error: a\n  b\nc"
