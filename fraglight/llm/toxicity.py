@@ -4,7 +4,7 @@ A linear-chain conditional random field tags the tokens of each sentence. Labels
 tokens are found in turns: the field of the last turn says which sentences of a document labelled abusive are meant; in the
 first turn a small list of words does. Each turn trains on parts of the labelled documents side by side in Spark
 tasks and averages their weights (iterative parameter mixing). Forward-backward marginals of the tokens then make the score
-of a sentence, the greatest of them that of the document, and their stretches above one half the offending offsets.
+of a sentence or of its strongest stretch, the greatest of them that of the document, and their stretches above one half the offending offsets.
 
 Disguises are taken off before: letters of other scripts or digits in place of similar letters, letters repeated, spaced
 or masked, characters without width.
@@ -27,6 +27,8 @@ SIZE = 1 << 18
 MOST_LABELLED, PART, PARTS, TURNS, PASSES = 20_000, 250, 8, 4, 6
 LONGEST = 64
 THRESHOLD = 0.6
+#: Tokens of a window by which a long sentence is scored.
+STRETCH = 6
 
 # Words by which the first turn finds sentences, by class. Each is compared without disguise.
 WORDS = {
@@ -194,6 +196,15 @@ class Batch:
         total = np.bincount(self.owner[upper], p[order][upper], len(self.sizes))
         return total / np.maximum(1, (self.sizes + 1) // 2)
 
+    def stretch_scores(self, p: np.ndarray) -> np.ndarray:
+        """Score of each sentence, or of its strongest window of a few tokens if that is greater: what follows doesn't dilute it."""
+        total = np.append(0.0, np.cumsum(p))
+        start = np.arange(len(p) - STRETCH + 1)
+        start = start[start + STRETCH <= (self.begin + self.sizes)[self.owner[: len(start)]]]
+        best = self.sentence_scores(p)
+        np.maximum.at(best, self.owner[start], (total[start + STRETCH] - total[start]) / STRETCH)
+        return best
+
 
 #: Scores of transitions: sentences are mostly of one kind throughout.
 STEPS = np.array([[1.0, -1.5], [-1.5, 1.0]])
@@ -287,7 +298,7 @@ def fit(labelled: DataFrame, most: int = MOST_LABELLED, turns: int = TURNS) -> n
 
 
 def score_documents(df: DataFrame, key: str, text: str, weights: np.ndarray) -> DataFrame:
-    """(key, score, spans array<struct<start,end>>) of every row: the score of the worst sentence, and the offsets of
+    """(key, score, spans array<struct<start,end>>) of every row: the score of the worst sentence or stretch, and the offsets of
     stretches of tokens more likely offending than not. A null or empty text scores 0 without spans. Texts are scored whole,
     rows keep their partitions; other columns aren't carried, so none can clash."""
     kind = df.schema[key].dataType.simpleString()
@@ -311,15 +322,15 @@ def score_documents(df: DataFrame, key: str, text: str, weights: np.ndarray) ->
                 for lo in range(0, len(found), 4000):
                     batch = Batch(found[lo : lo + 4000], words)
                     p = batch.marginals(model.value, STEPS)
-                    score = batch.sentence_scores(p)
+                    score = batch.stretch_scores(p)
                     own = np.array(doc[lo : lo + 4000])
                     np.maximum.at(best, own, score)
                     for s in np.flatnonzero(score >= 0.5):
                         spans = where[lo + s]
                         begin = batch.begin[s]
                         high = np.flatnonzero(p[begin : begin + batch.sizes[s]] >= 0.5)
-                        if len(high):
-                            offending[own[s]].append({"start": spans[high[0]][0], "end": spans[high[-1]][1]})
+                        for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1) if len(high) else []:
+                            offending[own[s]].append({"start": spans[run[0]][0], "end": spans[run[-1]][1]})
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best), pa.array(offending, spans_type)], ["k", "score", "spans"])
 
     made = df.select(key, text).mapInArrow(run, f"k {kind}, score double, spans array<struct<start:int,end:int>>")

@@ -20,7 +20,7 @@ from fraglight.llm.neardup import jaccard, near_duplicate_groups
 from fraglight.llm.spans import shared_clusters, shared_spans
 from fraglight.llm.terms import BurstTrie, marked_terms
 from fraglight.llm.tokens import TOKENIZERS, decode_column, encode_column, vocabulary
-from fraglight.llm.toxicity import Batch, STEPS, Words, fit, plain_word, score_documents, sentences
+from fraglight.llm.toxicity import SIZE, THRESHOLD, Batch, STEPS, Words, _hash, fit, plain_word, score_documents, sentences
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -357,6 +357,21 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[batch.begin[s] : batch.begin[s] + n], tagged / total)
 
 
+def test_harmless_text_after_an_insult_does_not_dilute_it(spark):
+    words = Words()
+    insult, rest = "shut up you stupid moron now", "then we look at how the parser keeps the next token in its list of tokens and writes"
+    known = {_hash("w", plain_word(w)) % SIZE for w in insult.split()}
+    weights = np.full(SIZE, 0.0, np.float32)
+    weights[[_hash("w", plain_word(w)) % SIZE for w in rest.split()]] = -6
+    weights[list(known)] = 6
+    text = f"{rest} {insult} {rest} {insult} {rest}"
+    batch = Batch([ids for ids, _ in sentences(text, words)], words)
+    assert batch.sentence_scores(batch.marginals(weights, STEPS)).max() < THRESHOLD
+    got = score_documents(spark.createDataFrame([(1, text), (2, rest), (3, "fine")], "id bigint, text string"), "id", "text", weights).orderBy("id").collect()
+    assert got[0].score >= THRESHOLD > max(got[1].score, got[2].score)
+    assert [text[x.start : x.end] for x in got[0].spans] == [insult] * 2
+
+
 def test_scores_on_held_out_documents(spark):
     rng = random.Random(4)
     clean = ["the parser drops a token", "kill the child process", "my own patch was crap", "the filter masks the word idiot in logs", "i feel like an idiot today"]
