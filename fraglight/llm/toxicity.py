@@ -58,6 +58,8 @@ _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _INVISIBLE = re.compile(r"[​-‏⁠­﻿̀-ͯ]")
 _RUNS = re.compile(r"(.)\1+")
 _CAMEL = re.compile(r"[a-z][A-Z]")
+_PIECE = re.compile(r"[^\W_]+")
+_HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^A-Z]+")
 
 
 def plain_word(word: str) -> str:
@@ -112,6 +114,19 @@ class Words:
             self.__init__()
 
 
+def identifier_words(token: str, at: int) -> Iterator[tuple[str, tuple[int, int]]]:
+    """The words of an identifier or of inline code with their offsets: those between other signs, and the parts of one whose case
+    changes."""
+    for m in _PIECE.finditer(token):
+        piece = m.group()
+        if not piece.isdigit():
+            yield piece.lower(), (at + m.start(), at + m.end())
+        if _CAMEL.search(piece):
+            for x in _HUMP.finditer(piece):
+                if len(x.group()) > 2:
+                    yield x.group().lower(), (at + m.start() + x.start(), at + m.start() + x.end())
+
+
 def sentences(text: str, words: Words) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
     """Token numbers and their offsets of each sentence, long ones in parts."""
     at = 0
@@ -120,11 +135,16 @@ def sentences(text: str, words: Words) -> Iterator[tuple[list[int], list[tuple[i
         ids: list[int] = []
         spans: list[tuple[int, int]] = []
         for x in _TOKEN.finditer(text, at, stop):
-            ids.append(words(x.group(), x.lastgroup))
-            spans.append(x.span())
-            if len(ids) == LONGEST:
-                yield ids, spans
-                ids, spans = [], []
+            kind, token = x.lastgroup, x.group()
+            found = [(words(token, kind), x.span())]
+            if kind == "code" or (kind == "word" and ("_" in token or _CAMEL.search(token))):  # <id>, then its words
+                found += [(words(w, "word"), span) for w, span in identifier_words(token, x.start())]
+            for k, span in found:
+                ids.append(k)
+                spans.append(span)
+                if len(ids) == LONGEST:
+                    yield ids, spans
+                    ids, spans = [], []
         if ids:
             yield ids, spans
         at = m.end() if m else stop

@@ -339,6 +339,16 @@ def test_disguises():
     assert {plain_word(w) for w in ("idiot", "IDIOT", "1d1ot", "іdiоt", "idi\u200bot", "iddiiot", "i.d.i.o.t")} == {"idiot"}
 
 
+def test_identifiers_and_code_are_read():
+    words = Words()
+    idiot = words("idiot", "word")
+    for text in ("you_idiot", "iDiOt", "`x = idiot;`", "callIdiotNow", "`You_Idiot`"):
+        ids, spans = next(sentences(text, words))
+        assert words.hash[idiot] in [words.hash[k] for k in ids]
+        assert words.hash[ids[0]] == _hash("<id>") and {text[a:b].lower() for k, (a, b) in zip(ids, spans) if words.hash[k] == words.hash[idiot]} == {"idiot"}
+    assert len(next(sentences("plain words here", words))[0]) == 3
+
+
 def test_marginals_equal_enumeration():
     words = Words()
     found = [ids for ids, _ in sentences("you are a moron. fine code here!\nok", words)]
