@@ -480,9 +480,9 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_templates(spark: SparkSession, d: str) -> DataFrame:
-    """The merged templates, how many lines each has, and the slot that holds the component."""
+    """The merged templates that begin entries, how many lines each has, and the parts of its places."""
     lines, templates = parsed_lines(table(spark, d, "outcomes"), "run_id", "stderr", "timestamp_utc")
-    return lines.join(templates, "template").groupBy("merged", "begins", "component_slot").count().withColumnRenamed("count", "lines")
+    return lines.join(templates, "template").groupBy("merged", "roles").agg(F.count("*").alias("lines"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
