@@ -663,4 +663,26 @@ SQL: dict[str, str] = {
             ELSE '[' || iter || '] mutants=' || mutants || ' ices=' || coalesce(ice_files, 0) || ' cumulative_locations=' || coalesce(cumulative, 0) || chr(10) ||
                  coalesce(array_to_string(list_transform(list_filter(places, lambda x: x IS NOT NULL), lambda x: 'NEW_LOCATION: ' || x || chr(10)), ''), '') END AS block FROM one""",
     "stream_dedup": "SELECT DISTINCT campaign_id, location FROM (SELECT campaign_id, unnest(new_locations) AS location FROM iterations) WHERE location IS NOT NULL",
+    "p5_found": r"""
+    WITH one AS (SELECT output_id, any_value(body) AS b FROM llm_outputs WHERE output_id IS NOT NULL AND body IS NOT NULL GROUP BY output_id),
+    bare AS (SELECT output_id, trim(regexp_replace(regexp_replace(b, '^\s*```[A-Za-z0-9_-]*', ''), '```\s*$', ''), chr(65279) || chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM one),
+    whole AS (SELECT output_id, t::JSON AS j FROM bare WHERE t <> '' AND json_valid(t)),
+    member AS (SELECT output_id, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(j, '$."' || k || '"') AS v
+               FROM (SELECT output_id, j, unnest(json_keys(j)) AS k FROM whole WHERE json_type(j) = 'OBJECT')),
+    inner_member AS (SELECT output_id, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(v, '$."' || k || '"') AS v
+               FROM (SELECT output_id, v, unnest(json_keys(v)) AS k FROM member WHERE json_type(v) = 'OBJECT'
+                     AND output_id NOT IN (SELECT output_id FROM member WHERE name IN ('introstructures', 'fragments')))),
+    listed AS (SELECT output_id, name, CASE json_type(v) WHEN 'ARRAY' THEN v ELSE json_array(v) END AS v
+               FROM (FROM member UNION ALL FROM inner_member) WHERE name IN ('introstructures', 'fragments') AND json_type(v) <> 'NULL'),
+    item AS (SELECT output_id, name, n, json_extract(v, n) AS x FROM (SELECT output_id, name, v, unnest(range(json_array_length(v)::BIGINT)) AS n FROM listed)),
+    kept AS (SELECT * FROM item WHERE json_type(x) <> 'NULL'),
+    part AS (SELECT output_id, n AS frag_no, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(x, '$."' || k || '"') AS v
+             FROM (SELECT output_id, n, x, unnest(json_keys(x)) AS k FROM kept WHERE name = 'fragments' AND json_type(x) = 'OBJECT')),
+    parts AS (SELECT output_id, frag_no, name, CASE json_type(v) WHEN 'ARRAY' THEN v ELSE json_array(v) END AS v
+              FROM part WHERE name IN ('dependencies', 'placeholders') AND json_type(v) <> 'NULL'),
+    nested AS (SELECT output_id, frag_no, name, n, json_extract(v, n) AS x FROM (SELECT output_id, frag_no, name, v, unnest(range(json_array_length(v)::BIGINT)) AS n FROM parts))
+    SELECT output_id, CASE name WHEN 'fragments' THEN 'fragment' ELSE 'intro' END AS child, CASE name WHEN 'fragments' THEN n ELSE -1 END AS frag_no,
+           CASE name WHEN 'fragments' THEN -1 ELSE n END AS item_no FROM kept
+    UNION ALL
+    SELECT output_id, CASE name WHEN 'dependencies' THEN 'dependency' ELSE 'placeholder' END, frag_no, n FROM nested WHERE json_type(x) <> 'NULL'""",
 }

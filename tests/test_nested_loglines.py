@@ -46,7 +46,8 @@ values = st.recursive(st.none() | st.integers() | st.text('a"\\{}[]:, é', max_s
 @settings(max_examples=200, deadline=None)
 @given(st.lists(values, min_size=1, max_size=4), st.sampled_from([None, 2]))
 def test_index_finds_every_value(bodies, indent):
-    index = Index([json.dumps(b, indent=indent).encode() for b in bodies])
+    index = Index([json.dumps(b, indent=indent, ensure_ascii=indent is None).encode() for b in bodies])
+    assert index.complete.all()
 
     def read(k):
         if index.kind(k) == 91:
@@ -55,7 +56,28 @@ def test_index_finds_every_value(bodies, indent):
             return {json.loads(b'"' + index.bytes[index.key[m] : index.key_end[m]] + b'"'): read(m) for m in index.within.get(index.start[k], [])}
         return json.loads(index.text(k))
 
-    assert [read(k) for k in range(len(bodies))] == bodies
+    assert [read(index.top[k]) for k in range(len(bodies))] == bodies
+
+
+def complete(text):
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text('{}[],:"\\nu10 -e.', max_size=12), values.map(json.dumps).flatmap(lambda t: st.integers(0, len(t)).map(lambda k: t[:k] + t[k + 1 :]))), min_size=1, max_size=4))
+def test_index_knows_complete_json(texts):
+    raw = [t.encode() for t in texts]
+    assert Index(raw, 3).complete.tolist() == [complete(t) for t in texts]
+
+
+def test_deep_bodies(spark):
+    deep = '{"fragments": [{"fragment": "f", "extra": ' + '{"a": [' * 50_000 + "1" + "]}" * 50_000 + '}], "intro-structures": ["u"]}'
+    assert children(spark, deep) == [(0, "fragment", 0, -1, "f"), (0, "intro", -1, 0, "u")]
+    assert children(spark, deep[:-1], deep.replace("]}", "}]", 1)) == []
 
 
 LOG = "\r\n".join([
