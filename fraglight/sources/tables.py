@@ -68,11 +68,29 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def discard(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    drop_path(df.sparkSession, df.staged_at)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+def path_names(spark: SparkSession, path: str, start: str = "") -> list[str]:
+    """Names of what a folder holds that begin so; none if it isn't there."""
+    files, target = _files(spark, path)
+    if not files.exists(target):
+        return []
+    return [n for x in files.listStatus(target) if (n := x.getPath().getName()).startswith(start)]
