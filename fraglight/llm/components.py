@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglight.sources.tables import staged
+from fraglight.sources.tables import discard, staged
 
 #: Rounds after which the job gives up with an error; alternating steps need about the logarithm of the longest path.
 MOST_ROUNDS = 60
@@ -43,7 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     now, before = staged(now, "edges"), None
     for _ in range(MOST_ROUNDS):
-        now = staged(_small_star(_large_star(now).filter("a <> b").distinct()).filter("a <> b").distinct(), "edges")
+        last, now = now, staged(_small_star(_large_star(now).filter("a <> b").distinct()).filter("a <> b").distinct(), "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if state == before:
             break

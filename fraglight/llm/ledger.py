@@ -2,8 +2,7 @@
 
 The ledger is two bucketed tables in a folder: for each canonical key the number of copies and the earliest
 representative, and for each id its key. A batch is aggregated first, then joined in full to the buckets that it touches;
-only those buckets are written again, as a new version. Nothing grows in the driver but one version number for each
-bucket.
+the keys that it changes are appended to them (see buckets.py). The folder can be opened again in another session.
 """
 
 from __future__ import annotations
@@ -11,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraglight.sources.tables import new_path, staged
-
-BUCKETS = 16
+from fraglight.llm.buckets import ROWS, Buckets
+from fraglight.sources.tables import discard, staged
 
 
 def plain(text: Column) -> Column:
@@ -29,65 +27,55 @@ def canonical_key(text: Column, entries: Column) -> Column:
     return F.when(plain(text) != "", F.unhex(F.md5(F.concat(plain(text), F.lit("\u0002"), listed))))
 
 
+def _latest(counts: DataFrame) -> DataFrame:
+    """Copies only grow and first ids only fall, so the latest version of a key has the most and the least."""
+    return counts.groupBy("key").agg(F.max("copies").alias("copies"), F.min("first_id").alias("first_id"))
+
+
 class Ledger:
-    """Canonical keys with their copies. add() takes batches in any order; a record delivered again counts once."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path or new_path(spark, "ledger"), buckets
-        self.versions: dict[str, dict[int, int]] = {"counts": {}, "ids": {}}
-        self.batches = 0
-
-    def _read(self, name: str, schema: str, touched: list[int] | None = None) -> DataFrame:
-        at: dict[int, list[int]] = {}
-        for bucket, version in self.versions[name].items():
-            if touched is None or bucket in touched:
-                at.setdefault(version, []).append(bucket)
-        out = self.spark.createDataFrame([], schema + ", bucket int")
-        for version, own in at.items():
-            read = self.spark.read.schema(schema + ", bucket int").parquet(f"{self.path}/{name}/v{version}")
-            out = out.unionByName(read.filter(F.col("bucket").isin(own)))
-        return out
-
-    def _write(self, name: str, df: DataFrame, touched: list[int]) -> None:
-        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/v{self.batches}")
-        self.versions[name] |= dict.fromkeys(touched, self.batches)
-
-    def _bucket(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+    """Canonical keys with their copies. add() takes batches in any order; a record delivered again counts once. A path that holds
+    a ledger opens it."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, rows: int = ROWS):
+        tables = {"counts": ("key binary, copies bigint, first_id bigint", ["key"]), "ids": ("id bigint, key binary", ["id"])}
+        self.kept = Buckets(spark, tables, path, rows)
+        self.path = self.kept.path
 
     def add(self, batch: DataFrame) -> None:
         """batch (id bigint, key binary); rows with a null id or key are left out."""
-        self.batches += 1
+        kept = self.kept
         batch = batch.filter("id is not null and key is not null").groupBy("id").agg(F.min("key").alias("key"))
-        batch = staged(batch.withColumn("bucket", self._bucket("id")), "batch")
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
-        known = self._read("ids", "id bigint, key binary", touched)
+        batch = staged(batch, "batch")
+        if not (more := batch.count()):
+            return
+        kept.grow("ids", more, lambda ids: ids.select("id", "key"))
+        kept.grow("counts", more, _latest)
+        known = kept.read("ids", kept.touched("ids", batch))
         fresh = staged(batch.join(known.select("id"), "id", "left_anti"), "fresh")
-        if touched:
-            self._write("ids", known.unionByName(fresh), touched)
-        new = fresh.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("at", self._bucket("key"))
+        new = fresh.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("at", kept.bucket("counts"))
         new = staged(new, "new")
-        touched = [r[0] for r in new.select("at").distinct().collect()]
-        if not touched:
-            return
-        old = self._read("counts", "key binary, copies bigint, first_id bigint", touched)
+        touched = {b: n for b, n in new.groupBy("at").count().collect()}
+        whole = kept.outgrown("counts", touched)
+        old = _latest(kept.read("counts", list(touched)))
         both = old.join(new, "key", "full_outer").select(
-            "key",
+            "key", "n",
             (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
             F.least("first_id", "least").alias("first_id"),
-            F.coalesce("bucket", "at").alias("bucket"),
-        )
-        self._write("counts", both, touched)
+        )
+        kept.write("counts", both.filter(F.col("n").isNotNull() | kept.bucket("counts").isin(whole)), whole)
+        kept.write("ids", fresh)
+        kept.commit()
+        for done in (batch, fresh, new):
+            discard(done)
 
     def counts(self) -> DataFrame:
-        """(key, copies, first_id)."""
-        return self._read("counts", "key binary, copies bigint, first_id bigint").drop("bucket")
+        """(key, copies, first_id), valid until the next add()."""
+        return _latest(self.kept.read("counts"))
 
     def copies(self) -> DataFrame:
         """(first_id, copy_id) of each record that is a copy of one with a smaller id."""
         hot = self.counts().filter("copies > 1")
-        ids = self._read("ids", "id bigint, key binary").select("id", "key")
-        return ids.join(hot, "key").filter("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
+        return self.kept.read("ids").select("id", "key").join(hot, "key").filter("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
 
 
 def in_batches(df: DataFrame, order: str, batches: int) -> list[DataFrame]:
@@ -102,10 +90,11 @@ def in_batches(df: DataFrame, order: str, batches: int) -> list[DataFrame]:
     return [df.filter(part == k) for k in range(batches)]
 
 
-def formatting_ledger(df: DataFrame, key: str, text: str, entries: str, order: str, batches: int = 3, buckets: int = BUCKETS) -> Ledger:
+def formatting_ledger(df: DataFrame, key: str, text: str, entries: str, order: str, batches: int = 3, path: str | None = None, rows: int = ROWS) -> Ledger:
     """A ledger of df, taken in by batches in the order of a time column. Records with a null key, and those without a
-    letter or digit in the text, are left out; other columns are ignored, an empty table gives an empty ledger."""
-    ledger = Ledger(df.sparkSession, buckets=buckets)
+    letter or digit in the text, are left out; other columns are ignored, an empty table gives an empty ledger. A path that
+    holds a ledger goes on with it."""
+    ledger = Ledger(df.sparkSession, path, rows)
     keyed = df.select(F.col(key).alias("id"), canonical_key(F.col(text), F.col(entries)).alias("key"), F.col(order).alias("at"))
     for batch in in_batches(keyed, "at", batches):
         ledger.add(batch.select("id", "key"))

@@ -1,26 +1,27 @@
 """Problem 4: new batches against all history, by incremental record linkage.
 
-Places are blocked by campaign, file and a range of lines; the blocking-key table is kept in a folder, in buckets by key,
-with the earliest sighting of each line. A batch reads only the buckets of its own blocks and their neighbours, links its
-lines to known ones by the sum of learned weights of field agreements, and writes only those buckets again. Weights are
-logarithms of how much oftener an agreement is seen in links than in other candidate pairs, from counts over all pairs
-so far. Clusters are kept as representatives of nodes: a batch joins the representatives that its links touch.
+Places are blocked by campaign, file and a range of lines; the blocking-key table is kept in a folder (buckets.py), with the
+earliest sighting of each line. A batch reads only the buckets of its own blocks and their neighbours, links its lines to
+known ones by a weighted sum of how their fields agree, and appends the lines that it changes. The weights are those of a
+logistic model, learned anew with each batch from the counts of all agreement patterns of blocked pairs so far, labelled
+by the definition of a place; the model alone decides about a pair afterwards. Clusters are a union-find forest: a batch looks up the representatives of the nodes that it
+links, joins those, and appends the pointers that change; no other cluster is touched.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraglight.llm.buckets import ROWS, Buckets
 from fraglight.llm.components import components
-from fraglight.sources.tables import new_path, staged
+from fraglight.sources.tables import discard, staged
 
-NEAR, BLOCK, BUCKETS = 3, 8, 16
+NEAR, BLOCK = 3, 8
 #: A sighting before all iterations.
 BEFORE = -(1 << 62)
-_LINES = "campaign string, file string, line bigint, first struct<iter:bigint,pos:bigint>, col bigint, reach struct<iter:bigint,pos:bigint>, bucket int"
+_MOMENT = "struct<iter:bigint,pos:bigint>"
 
 
 def place(location: Column) -> tuple[Column, Column, Column]:
@@ -31,104 +32,142 @@ def place(location: Column) -> tuple[Column, Column, Column]:
     return part(1), part(2).try_cast("bigint"), part(3).try_cast("bigint")
 
 
-def _field_levels(gap: Column, near: Column, same_col: Column) -> list[Column]:
-    """Agreement levels of the fields of a candidate pair; all have the same campaign and file."""
-    return [F.when(gap == 0, "same").when(gap <= near, "near").otherwise("far").alias("line"), F.when(same_col, "same").otherwise("other").alias("column")]
+def learned(patterns: list[tuple[int, bool, bool, int]], rounds: int = 200) -> list[float]:
+    """(gap of lines, same column, label, pairs) -> weights of a logistic model: bias, each line of gap, same column. Newton steps
+    with a ridge that is lowered until no pattern is on the wrong side, or it is spent."""
+    x = np.array([(1.0, gap, column) for gap, column, _, _ in patterns] or [(1.0, 0.0, 0.0)])
+    y = np.array([label for _, _, label, _ in patterns] or [True], float)
+    n = np.array([count for *_, count in patterns] or [1], float)
+    w = np.zeros(3)
+    for ridge in 10.0 ** -np.arange(1, 12):
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+            slope = x.T @ (n * (p - y)) + ridge * w
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), slope)
+            w = w - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-9:
+                break
+        if (((x @ w) > 0) == (y > 0)).all():
+            break
+    return [float(v) for v in w]
+
+
+def _latest(lines: DataFrame) -> DataFrame:
+    """Sightings, links and columns only fall, so the latest version of a line has the least of each."""
+    return lines.groupBy("campaign", "file", "line").agg(F.min("first").alias("first"), F.min("col").alias("col"), F.min("reach").alias("reach"))
 
 
 class Linker:
-    """History of the places that campaigns have had. A batch may come late: what it changes is found again in its blocks."""
-
-    def __init__(self, spark: SparkSession, near: int = NEAR, buckets: int = BUCKETS, clusters: bool = False):
-        self.spark, self.near, self.buckets, self.path = spark, near, buckets, new_path(spark, "places")
-        self.versions: dict[int, int] = {}
-        self.batches = 0
-        self.seen: dict[tuple[str, str, bool], int] = {}
-        self.weights: dict[tuple[str, str], float] = {}
-        self.clusters = spark.createDataFrame([], "node string, root string") if clusters else None
-
-    def _bucket(self, block: Column) -> Column:
-        return F.pmod(F.xxhash64("campaign", "file", block), F.lit(self.buckets)).cast("int")
-
-    def _block(self, shift: int = 0) -> Column:
-        return F.floor(F.col("line") / BLOCK) + shift
-
-    def known(self, touched: list[int] | None = None) -> DataFrame:
-        """The blocking-key table, or its touched buckets."""
-        at: dict[int, list[int]] = {}
-        for bucket, version in self.versions.items():
-            if touched is None or bucket in touched:
-                at.setdefault(version, []).append(bucket)
-        out = self.spark.createDataFrame([], _LINES)
-        for version, own in at.items():
-            read = self.spark.read.schema(_LINES).parquet(f"{self.path}/v{version}")
-            out = out.unionByName(read.filter(F.col("bucket").isin(own)))
-        return out
+    """History of the places that campaigns have had. A batch may come late: what it changes is found again in its blocks. A path
+    that holds a history opens it, with its weights."""
+
+    def __init__(self, spark: SparkSession, near: int = NEAR, path: str | None = None, clusters: bool = False, rows: int = ROWS):
+        tables = {
+            "lines": (f"campaign string, file string, line bigint, first {_MOMENT}, col bigint, reach {_MOMENT}, block bigint", ["campaign", "file", "block"]),
+            "forest": ("node string, parent string", ["node"]),
+        }
+        self.kept = Buckets(spark, tables, path, rows)
+        self.near, self.path, self.clustered = near, self.kept.path, clusters
+
+    @property
+    def weights(self) -> list[float]:
+        return self.kept.notes.get("weights", [0.0, 0.0, 0.0])
+
+    def known(self) -> DataFrame:
+        """(campaign, file, line, first, col, reach): all lines, valid until the next add()."""
+        return _latest(self.kept.read("lines"))
 
     def _learn(self, pairs: DataFrame) -> None:
-        """Counts agreements over all candidate pairs; a pair within `near` lines is a link by definition."""
-        levels = _field_levels(F.col("gap"), F.lit(self.near), F.col("same_col"))
-        for line, column, n in pairs.groupBy(*levels).agg(F.count("*")).collect():  # six rows at most
-            link = line != "far"
-            for field, level in (("line", line), ("column", column)):
-                self.seen[field, level, link] = self.seen.get((field, level, link), 0) + n
-        for field, level in [("line", "same"), ("line", "near"), ("line", "far"), ("column", "same"), ("column", "other")]:
-            share = []
-            for link in (True, False):
-                total = sum(n for (f, _, k), n in self.seen.items() if f == field and k == link)
-                share.append((self.seen.get((field, level, link), 0) + (1e-12 if field == "line" else 0.5)) / (total + 1))
-            weight = math.log2(share[0] / share[1])
-            self.weights[field, level] = weight if field == "line" else max(-8.0, min(8.0, weight))  # columns hint, lines decide
-
-    def _score(self) -> Column:
-        w = self.weights
-        line = F.when(F.col("gap") == 0, w["line", "same"]).when(F.col("gap") <= self.near, w["line", "near"]).otherwise(w["line", "far"])
-        return line + F.when(F.col("same_col"), w["column", "same"]).otherwise(w["column", "other"])
+        """Counts the agreement patterns of the batch's blocked pairs, adds them to those so far, and fits the model again."""
+        seen = {(g, c): n for g, c, n in self.kept.notes.get("patterns", [])}
+        for gap, column, n in pairs.groupBy("gap", "same_col").count().collect():  # gaps within two blocks: 32 rows at most
+            seen[gap, column] = seen.get((gap, column), 0) + n
+        self.kept.notes["patterns"] = [[g, c, n] for (g, c), n in sorted(seen.items())]
+        self.kept.notes["weights"] = learned([(g, c, g <= self.near, n) for (g, c), n in sorted(seen.items())])
+
+    def score(self) -> Column:
+        bias, gap, column = self.weights
+        return F.lit(bias) + F.col("gap") * gap + F.when(F.col("same_col"), column).otherwise(0.0)
 
     def add(self, batch: DataFrame) -> None:
         """batch (campaign, file, line, col, iter, pos): sightings."""
-        self.batches += 1
+        kept = self.kept
+        block = lambda shift=0: F.floor(F.col("line") / BLOCK) + shift
+        around = F.explode(F.array(*(block(k) for k in (-1, 0, 1)))).alias("block")
         sightings = batch.filter("campaign is not null and file is not null and line is not null")
         lines = sightings.groupBy("campaign", "file", "line").agg(F.min(F.struct("iter", "pos")).alias("first"), F.min("col").alias("col"))
         lines = staged(lines, "lines")
-        near = lines.select(F.explode(F.array(*(self._bucket(self._block(k)) for k in (-1, 0, 1)))).alias("b")).distinct()
-        touched = sorted(r[0] for r in near.collect())  # at most one for each bucket
-        if not touched:
+        if not (more := lines.count()):
             return
-        old = self.known(touched)
-        merged = old.select("campaign", "file", "line", "first", "col").unionByName(lines).groupBy("campaign", "file", "line").agg(F.min("first").alias("first"), F.min("col").alias("col"))
-        merged = staged(merged.withColumn("bucket", self._bucket(self._block())), "merged")
-        # candidates: lines of the batch's blocks and their neighbours, each with the known lines near it
-        changed = lines.select("campaign", "file", F.explode(F.array(*(self._block(k) for k in (-1, 0, 1)))).alias("block")).distinct()
-        affected = merged.withColumn("block", self._block()).join(changed, ["campaign", "file", "block"], "left_semi")
-        other = merged.select("campaign", "file", F.explode(F.array(*(self._block(k) for k in (-1, 0, 1)))).alias("block"), F.col("line").alias("line2"), F.col("first").alias("first2"), F.col("col").alias("col2"))
-        pairs = affected.join(other, ["campaign", "file", "block"]).withColumns({"gap": F.abs(F.col("line") - F.col("line2")), "same_col": F.col("col").eqNullSafe(F.col("col2"))})
+        kept.grow("lines", more, lambda x: _latest(x).withColumn("block", block()))
+        near = staged(lines.select("campaign", "file", around).distinct(), "near")
+        touched = kept.touched("lines", near)
+        old = staged(_latest(kept.read("lines", touched).join(near, ["campaign", "file", "block"], "left_semi")), "old")
+        merged = old.unionByName(lines, allowMissingColumns=True)
+        merged = staged(_latest(merged).withColumnRenamed("reach", "was"), "merged")
+        # candidates: lines of the batch's blocks and their neighbours, each with the lines known near it
+        other = merged.select("campaign", "file", around, F.col("line").alias("line2"), F.col("first").alias("first2"), F.col("col").alias("col2"))
+        pairs = merged.withColumn("block", block()).join(other, ["campaign", "file", "block"])
+        pairs = pairs.withColumns({"gap": F.abs(F.col("line") - F.col("line2")), "same_col": F.col("col").eqNullSafe(F.col("col2"))})
         pairs = staged(pairs.select("campaign", "file", "line", "line2", "first2", "gap", "same_col"), "pairs")
-        self._learn(pairs.filter("line <> line2"))
-        links = pairs.filter((F.col("gap") == 0) | (self._score() > 0)).filter(F.col("gap") <= self.near)
+        self._learn(pairs)
+        links = pairs.filter(self.score() > 0)
         reach = links.groupBy("campaign", "file", "line").agg(F.min("first2").alias("reach"))
-        kept = old.select("campaign", "file", "line", F.col("reach").alias("was"))
-        new = merged.join(reach, ["campaign", "file", "line"], "left").join(kept, ["campaign", "file", "line"], "left")
         # a line of a neighbouring block may have its earliest link in a block that isn't read; sightings only get earlier
-        new = new.select("campaign", "file", "line", "first", "col", F.least("reach", "was", "first").alias("reach"), "bucket")
-        new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/v{self.batches}")
-        self.versions |= dict.fromkeys(touched, self.batches)
-        if self.clusters is not None:
-            self._unite(links)
-
-    def _unite(self, links: DataFrame) -> None:
-        """Joins the representatives that the links touch; all other clusters stay as they are."""
+        new = merged.join(reach, ["campaign", "file", "line"], "left").select("campaign", "file", "line", "first", "col", F.least("reach", "was", "first").alias("reach"), block().alias("block"))
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("campaign", "file", "line", "first", "col", "reach")]
+        changed = staged(new.alias("n").join(old.alias("o"), [a for a in same[:3]], "left").filter(~(same[3] & same[4] & same[5]) | F.col("o.line").isNull()).select("n.*"), "changed")
+        due = kept.outgrown("lines", {b: n for b, n in changed.groupBy(kept.bucket("lines").alias("b")).count().collect()})
+        if due:
+            rest = _latest(kept.read("lines", due)).join(changed, ["campaign", "file", "line"], "left_anti").withColumn("block", block())
+            kept.write("lines", changed.unionByName(rest), due)
+        else:
+            kept.write("lines", changed)
+        if self.clustered:
+            self._unite(links.filter("line < line2"), lines)
+        kept.commit()
+        for done in (lines, near, old, merged, pairs, changed):
+            discard(done)
+
+    def _parents(self, nodes: DataFrame) -> DataFrame:
+        """nodes (node) -> (node, parent): pointers of nodes that have one; versions of a pointer only fall."""
+        read = self.kept.read("forest", self.kept.touched("forest", nodes)).groupBy("node").agg(F.min("parent").alias("parent"))
+        return read.join(nodes.distinct(), "node", "left_semi")
+
+    def _roots(self, nodes: DataFrame) -> DataFrame:
+        """nodes (node) -> (node, root): pointers followed to their end, in as many joins as the longest path has steps."""
+        now = staged(nodes.distinct().withColumn("root", F.col("node")), "roots")
+        while True:
+            up = self._parents(now.select(F.col("root").alias("node"))).withColumnRenamed("node", "root")
+            up = staged(up.filter("parent <> root"), "up")
+            if up.isEmpty():
+                discard(up)
+                return now
+            moved = staged(now.join(up, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "roots")
+            for done in (now, up):
+                discard(done)
+            now = moved
+
+    def _unite(self, links: DataFrame, lines: DataFrame) -> None:
+        """Joins the representatives of the nodes that the links touch. Written are the pointers of the batch's nodes and of the
+        representatives that have a smaller one now."""
         node = lambda line: F.concat_ws(" ", "campaign", "file", F.lpad(F.col(line).cast("string"), 12, "0"))
-        edges = links.select(node("line").alias("x"), node("line2").alias("y")).distinct()
-        named = edges
-        for end in ("x", "y"):
-            named = named.join(self.clusters.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        named = staged(named.select("x", "y", F.coalesce("x_root", "x").alias("a"), F.coalesce("y_root", "y").alias("b")), "named")
-        moved = components(named).withColumnRenamed("node", "old")
-        nodes = self.clusters.unionByName(named.select(F.col("x").alias("node"), F.col("a").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-        moved = moved.select("old", F.col("root").alias("new"))
-        united = nodes.join(moved, nodes["root"] == moved["old"], "left")
-        self.clusters = staged(united.select("node", F.coalesce("new", "root").alias("root")), "clusters")
+        edges = staged(links.select(node("line").alias("x"), node("line2").alias("y")).distinct(), "edges")
+        nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).union(lines.select(node("line")))
+        self.kept.grow("forest", nodes.count(), lambda forest: forest.groupBy("node").agg(F.min("parent").alias("parent")))
+        roots = self._roots(nodes)
+        named = edges.join(roots.withColumnRenamed("node", "x").withColumnRenamed("root", "a"), "x").join(roots.withColumnRenamed("node", "y").withColumnRenamed("root", "b"), "y")
+        joined = components(named, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        of_nodes = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("parent"))
+        changed = staged(of_nodes.union(joined.select("root", "top")).distinct(), "pointers")
+        had = self._parents(changed.select("node")).withColumnRenamed("parent", "had")
+        self.kept.write("forest", changed.join(had, "node", "left").filter("had is null or had <> parent").select("node", "parent"))
+        for done in (edges, roots, changed):
+            discard(done)
+
+    def clusters(self) -> DataFrame:
+        """(node, root): every line, as campaign, file and line, with the representative of its cluster."""
+        return self._roots(self.kept.read("forest").select("node"))
 
     def repeated(self, sightings: DataFrame) -> DataFrame:
         """The sightings at a place that the campaign had before."""
@@ -146,12 +185,12 @@ def sightings(batches: DataFrame) -> DataFrame:
     return each.filter("file is not null and line is not null").dropDuplicates(["campaign", "iter", "pos"])
 
 
-def link_history(seen: DataFrame, iterations: DataFrame, order: str = "logged_at", batches: int = 2, clusters: bool = False) -> tuple[Linker, DataFrame]:
+def link_history(seen: DataFrame, iterations: DataFrame, order: str = "logged_at", batches: int = 2, clusters: bool = False, path: str | None = None) -> tuple[Linker, DataFrame]:
     """The history of all campaigns: `seen` first, then `iterations` in batches as they were logged, late ones late. Gives
     the linker and all sightings. Repeated rows count once, null entries not at all; empty tables give empty results."""
     from fraglight.llm.ledger import in_batches
 
-    linker = Linker(iterations.sparkSession, clusters=clusters)
+    linker = Linker(iterations.sparkSession, path=path, clusters=clusters)
     file, line, col = place(F.col("location"))
     before = F.lit(BEFORE).cast("bigint")
     linker.add(seen.select(F.col("campaign_id").alias("campaign"), file.alias("file"), line.alias("line"), col.alias("col"), before.alias("iter"), before.alias("pos")))

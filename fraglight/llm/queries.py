@@ -78,7 +78,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of places that are linked, also through others: their representative and number of lines."""
     linker, _ = link_history(table(spark, d, "seen"), table(spark, d, "iterations"), clusters=True)
-    return linker.clusters.groupBy(F.col("root").alias("representative")).agg(F.count("*").alias("lines"))
+    return linker.clusters().groupBy(F.col("root").alias("representative")).agg(F.count("*").alias("lines"))
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:

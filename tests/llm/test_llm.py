@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fraglight.llm import queries as llm
 from fraglight.llm.components import components
 from fraglight.llm.ledger import Ledger, canonical_key, formatting_ledger
-from fraglight.llm.linkage import Linker, link_history, place
+from fraglight.llm.linkage import Linker, learned, link_history, place
 from fraglight.llm.mixing import mixed
 from fraglight.llm.neardup import jaccard, near_duplicate_groups
 from fraglight.llm.spans import shared_clusters, shared_spans
@@ -127,7 +127,7 @@ def test_ledger(spark):
     df = spark.createDataFrame([(*r, "clash", b"clash") for r in rows], "fragment_id bigint, fragment string, dependencies array<string>, at int, id string, key binary")
     df = df.withColumn("at", F.timestamp_seconds("at"))
     for batches in (1, 3):
-        ledger = formatting_ledger(df, "fragment_id", "fragment", "dependencies", "at", batches=batches, buckets=3)
+        ledger = formatting_ledger(df, "fragment_id", "fragment", "dependencies", "at", batches=batches, rows=2)
         assert sorted(map(tuple, ledger.copies().collect())) == [(2, 5), (4, 7), (4, 9), (6, 8)]
         assert sorted(map(tuple, ledger.counts().select("first_id", "copies").collect())) == [(2, 2), (4, 3), (6, 2), (10, 1)]
     empty = formatting_ledger(df.limit(0), "fragment_id", "fragment", "dependencies", "at")
@@ -136,12 +136,29 @@ def test_ledger(spark):
 
 def test_ledger_takes_batches_in_any_order(spark):
     keyed = lambda ids: spark.createDataFrame([(i,) for i in ids], "id bigint").withColumn("key", canonical_key(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")), F.lit(None)))
-    ledger = Ledger(spark, buckets=2)
+    ledger = Ledger(spark, rows=2)
     for ids in ([7, 8, 9], [1, 2, 7], [], [4, 1]):
         ledger.add(keyed(ids))
     assert sorted(map(tuple, ledger.counts().select("first_id", "copies").collect())) == [(1, 3), (2, 2), (9, 1)]
 
 
+def test_ledger_opens_again_and_writes_what_changes(spark, tmp_path):
+    keyed = lambda a, b: spark.range(a, b).select("id", canonical_key(F.concat(F.lit("t"), (F.col("id") % 700).cast("string")), F.lit(None)).alias("key"))
+    path = f"file://{tmp_path}/ledger"
+    Ledger(spark, path, rows=100).add(keyed(0, 5000))
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    before = size()
+    again = Ledger(spark, path, rows=100)
+    assert again.counts().count() == 700
+    again.add(keyed(5000, 5010))
+    assert size() - before < 0.1 * before
+    for k in range(3):
+        Ledger(spark, path, rows=100).add(keyed(4900, 6000 + k))
+    last = Ledger(spark, path)
+    assert sorted(r.copies for r in last.counts().collect()) == sorted(Counter(k % 700 for k in range(6002)).values())
+    assert last.copies().count() == 6002 - 700
+
+
 # 3
 
 
@@ -231,13 +248,13 @@ def test_linkage_with_late_rows(spark, batches):
     near = [((c, f, m), (c, f, n)) for c, f, m in lines for d, g, n in lines if (c, f) == (d, g) and 0 < n - m <= 3]
     roots = find_roots(near)
     want = Counter(Counter({x: roots.get(x, x) for x in lines}.values()).values())
-    linked = Counter(r["count"] for r in linker.clusters.groupBy("root").count().collect())
+    linked = Counter(r["count"] for r in linker.clusters().groupBy("root").count().collect())
     assert {k: v for k, v in linked.items() if k > 1} == {k: v for k, v in want.items() if k > 1}
 
 
 def test_linkage_keeps_links_to_blocks_not_read(spark):
     rows = lambda *r: spark.createDataFrame([("c", "compiler/a.rs", line, None, it, 0) for line, it in r], "campaign string, file string, line bigint, col bigint, iter bigint, pos bigint")
-    linker = Linker(spark, buckets=1024)
+    linker = Linker(spark, rows=1)
     history = [(line, 9) for line in range(100, 2000, 40)] + [(16, 1), (15, 5)]
     linker.add(rows(*history))
     assert [r.iter for r in linker.repeated(rows((15, 5))).collect()] == [5]
@@ -246,6 +263,44 @@ def test_linkage_keeps_links_to_blocks_not_read(spark):
     assert linker.known().count() == len(history) + 1
 
 
+def test_learned_weights_decide(spark, monkeypatch):
+    """Without the score all blocked pairs would be links; with it those of the definition, whatever the columns."""
+    rng = random.Random(2)
+    seen, rows = history(rng)
+    s = spark.createDataFrame(seen, "campaign_id string, location string, first_iter bigint")
+    i = spark.createDataFrame([r[:3] + (None,) for r in rows], "campaign_id string, iter bigint, new_locations array<string>, logged_at timestamp")
+    linker, all_ = link_history(s, i)
+    assert sorted((r.campaign, r.iter, r.pos) for r in linker.repeated(all_).collect()) == known_before(seen, rows)
+    bias, gap, column = linker.weights
+    assert all((bias + gap * g + column * c > 0) == (g <= 3) for g, c, _ in linker.kept.notes["patterns"]) and gap < 0
+    monkeypatch.setattr(Linker, "score", lambda self: F.lit(1.0))
+    linker, all_ = link_history(s, i)
+    assert linker.repeated(all_).count() > len(known_before(seen, rows))
+
+
+def test_learned():
+    assert learned([]) and learned([(0, True, True, 5)])
+    for patterns in ([(0, True, True, 900), (3, False, True, 1), (4, True, False, 1), (15, False, False, 9)], [(1, False, True, 10**9), (3, True, True, 2), (4, False, False, 10**6), (4, True, False, 1)]):
+        bias, gap, column = learned(patterns)
+        assert all((bias + gap * g + column * c > 0) == label for g, c, label, _ in patterns)
+
+
+def test_history_opens_again_and_touches_few_clusters(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([("c", "compiler/a.rs", line, None, it, 0) for line, it in r], "campaign string, file string, line bigint, col bigint, iter bigint, pos bigint")
+    path = f"file://{tmp_path}/places"
+    Linker(spark, path=path, clusters=True, rows=40).add(rows(*[(line, 1) for line in range(0, 9000, 6)]))
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    before = size()
+    again = Linker(spark, path=path, clusters=True, rows=40)
+    assert again.weights != [0.0, 0.0, 0.0]
+    again.add(rows((3, 7), (9, 7), (600, 8)))
+    assert size() - before < 0.1 * before
+    assert {r.line for r in again.repeated(rows((3, 7), (9, 7), (600, 8), (12, 1))).collect()} == {3, 9, 600}
+    roots = Counter(r.root for r in Linker(spark, path=path, clusters=True).clusters().collect())
+    assert sorted(roots.values())[-2:] == [1, 5] and len(roots) == 1498
+    assert Linker(spark, path=path).known().count() == 1502
+
+
 def test_linkage_of_nothing(spark):
     s = spark.createDataFrame([], "campaign_id string, location string, first_iter bigint")
     i = spark.createDataFrame([], "campaign_id string, iter bigint, new_locations array<string>, logged_at timestamp")
