@@ -4,10 +4,11 @@ MinHash: each text is the set of its five-character substrings after formatting
 of the set make 20 bands of 4. Texts of a band bucket are candidates. Candidates pass the verification of signatures (the
 low bits of 64 minima) and then of the exact Jaccard similarity, and the links are grouped by connected components.
 
-No bucket is expanded into all pairs. First each member is compared with the bucket's least member and with its
-predecessor in order; buckets that are hot within a batch are reduced there before they are shuffled. Once components are
-known, only members that aren't in their bucket's main component are compared with the rest of their bucket, so no
-link between texts of different groups is lost; members of one component need no more comparison.
+No bucket is expanded into all pairs. First each member is compared with the least and the greatest member of its bucket.
+Once components are known, buckets of one component need no more. In those of several, small ones compare members of
+different components; the texts of large ones, which mostly share some common passage, are joined by their rare
+substrings instead: of two sets with a similarity of t the rarest (1 - t) of the larger and (1 - t) / (1 + t) of the smaller
+have one in common. That loses no link, and texts whose common part is below the threshold meet no more.
 """
 
 from __future__ import annotations
@@ -16,18 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraglight.llm.components import components
-from fraglight.sources.tables import staged
+from fraglight.sources.tables import discard, staged
 
 BANDS, ROWS, CHARACTERS = 20, 4, 5
 #: Equal low bits among 64 below which a pair of signatures can't come from a similarity of the threshold (4 sigma).
 SIGMAS = 4.0
-#: Rows of one key in a batch from which they are reduced before the shuffle.
-HOT_IN_BATCH = 32
-SPREAD = 64
+#: Members of a bucket up to which those of different components are compared with each other.
+SMALL = 32
 
 
 def formatting_off(column: str) -> F.Column:
@@ -79,31 +79,20 @@ def _band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (key * np.uint64(64) + np.arange(bands, dtype=np.uint64)).view(np.int64) if bands <= 64 else key.view(np.int64)
 
 
-def _buckets(texts: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """texts (c, text, salt) -> (key, c, bits, hub): one row for each text and band; hub is set in rows that are reduced
-    already. c stands for all copies of a text; salt keeps buckets of different kinds apart."""
+def _signed(texts: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
+    """texts (node, text, salt) -> (node, text, bits, keys): signature and band keys; salt keeps buckets of different kinds apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                ids, first = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_index=True)
-                words = part.column(1).take(pa.array(first)).to_pylist()
-                salt = part.column(2).to_numpy(zero_copy_only=False)[first]
-                low = np.concatenate([minima(words[i : i + 500], n, bands * rows) for i in range(0, len(words), 500)])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                low = minima(part.column(1).to_pylist(), n, bands * rows)
                 bits = np.packbits((low[:, :64] & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64).ravel()
-                key = (_band_keys(low, bands, rows) ^ salt[:, None]).ravel()
-                who, what = np.repeat(ids, bands), np.repeat(bits, bands)
-                order = np.lexsort((who, key))
-                key, who, what = key[order], who[order], what[order]
-                new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                size = np.diff(np.append(new, len(key)))
-                place = np.arange(len(key)) - np.repeat(new, size)
-                reduced = (np.repeat(size, size) > HOT_IN_BATCH) & (place > 0)
-                hub = pa.array(np.repeat(who[new], size), mask=~reduced)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(what), hub], ["key", "c", "bits", "hub"])
+                keys = _band_keys(low, bands, rows) ^ part.column(2).to_numpy(zero_copy_only=False)[:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits), lists], ["node", "text", "bits", "keys"])
 
-    return texts.mapInArrow(run, "key bigint, c bigint, bits bigint, hub bigint")
+    return texts.mapInArrow(run, "node bigint, text string, bits bigint, keys array<bigint>")
 
 
 def jaccard(pairs: list[tuple[str, str]], n: int) -> np.ndarray:
@@ -116,8 +105,8 @@ def jaccard(pairs: list[tuple[str, str]], n: int) -> np.ndarray:
     return both / (np.bincount(left, minlength=len(pairs)) + np.bincount(right, minlength=len(pairs)) - both)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """pairs (a, b) whose texts reach the threshold."""
+def _verified(pairs: DataFrame, signed: DataFrame, threshold: float, n: int) -> DataFrame:
+    """pairs (a, b) whose signatures may reach the threshold, and whose texts do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,16 +115,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> D
                 keep = jaccard(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), n) >= threshold
                 yield part.select([0, 1]).filter(pa.array(keep))
 
-    texts = texts.dropDuplicates(["c"])
-    left = texts.select(F.col("c").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    enough = 64 * (1 + threshold) / 2 - SIGMAS * np.sqrt(64 * (1 - threshold**2) / 4)
+    left = signed.select(F.col("node").alias("a"), F.col("text").alias("x"), F.col("bits").alias("x_bits"))
+    right = signed.select(F.col("node").alias("b"), F.col("text").alias("y"), F.col("bits").alias("y_bits"))
+    met = pairs.join(left, "a").join(right, "b").filter(F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= 64 - enough)
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _shingles(texts: DataFrame, n: int) -> DataFrame:
+    """texts (node, root, text) -> (node, root, size, h): the distinct substrings of each text, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                owner, h = _shingle_hashes(part.column(2).to_pylist(), n)
+                size = np.bincount(owner, minlength=part.num_rows)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(size[owner]), pa.array(h.astype(np.int64))], ["node", "root", "size", "h"])
+
+    return texts.select("node", "root", "text").mapInArrow(run, "node bigint, root bigint, size bigint, h bigint")
+
+
+def rare_pairs(texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """texts (node, root, text) -> (a, b): pairs of different roots among which are all that reach the threshold. Substrings are
+    ordered by how many texts have them; the larger set of a similar pair has one of its first (1 - t) of them among the first
+    (1 - t) / (1 + t) of the smaller."""
+    shingles = staged(_shingles(texts, n), "shingles")
+    known = shingles.groupBy("h").agg(F.count("*").alias("df"))
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    listed = shingles.join(known, "h").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+    rare = listed.select("node", "root", "size", F.posexplode(F.slice("order", F.lit(1), first(threshold).cast("int"))).alias("pos", "x"))
+    rare = staged(rare.filter("x.df > 1").select("node", "root", "size", F.col("x.h").alias("h"), (F.col("pos") < first(2 * threshold / (1 + threshold))).alias("held")), "rare")
+    small = rare.filter("held").select("h", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"))
+    met = rare.join(small, "h").filter("node <> y and root <> y_root and y_size <= size").filter(F.col("y_size") >= F.col("size") * threshold - 1e-9)
+    return met.select(*_pair("node", "y")).distinct()
+
+
 def near_duplicate_groups(
     df: DataFrame, key: str, text: str, threshold: float = 0.7, least: int = 100, bands: int = BANDS, rows: int = ROWS, n: int = CHARACTERS, kind: str | None = None
 ) -> DataFrame:
@@ -148,35 +168,32 @@ def near_duplicate_groups(
     all count. Other columns are ignored, whatever their names; an empty table gives no rows."""
     source = df.select((F.col(kind) if kind else F.lit("")).alias("kind"), F.col(key).alias("id"), formatting_off(text).alias("text"))
     source = source.filter("kind is not null and id is not null").filter(F.length("text") >= least)
-    source = source.withColumn("c", F.xxhash64("kind", "text"))
-    texts = source.select("c", "text")
-
-    made = _buckets(source.select("c", "text", F.xxhash64("kind")), bands, rows, n)
-    part = Window.partitionBy("key", "spread").orderBy("c")
-    seen = made.withColumn("spread", F.when(F.col("hub").isNull(), 0).otherwise(1 + F.pmod("c", F.lit(SPREAD))))
-    seen = seen.select(
-        "key", "c", "bits", "spread", F.coalesce("hub", F.first("c").over(part)).alias("hub"), F.first("bits").over(part).alias("hub_bits"),
-        F.lag("c").over(part).alias("before"), F.lag("bits").over(part).alias("before_bits"), F.lead("c").over(part).alias("after"),
-    )
-    shared = staged(seen.filter("c <> hub or spread > 0 or before is not null or after is not null"), "buckets")
-    enough = 64 * (1 + threshold) / 2 - SIGMAS * np.sqrt(64 * (1 - threshold**2) / 4)
-    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 64 - enough
-    to_hub = shared.filter("c <> hub").filter(alike("bits", "hub_bits") | (F.col("spread") > 0)).select(*_pair("c", "hub"))
-    to_last = shared.filter("c <> before").filter(alike("bits", "before_bits")).select(*_pair("c", "before"))
-    links = staged(_verified(to_hub.unionAll(to_last).distinct(), texts, threshold, n), "links")
-    roots = components(links)
-
-    # Members outside their bucket's main component are compared with the others of the bucket.
-    named = shared.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "bits", F.coalesce("root", "c").alias("root"))
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = named.join(main, "key").distinct()
-    strays = mixed.filter("root <> main").select("key", F.col("c").alias("x"), F.col("bits").alias("x_bits"), F.col("root").alias("x_root"))
-    rest = strays.join(mixed, "key").filter("x_root <> root").filter(alike("bits", "x_bits")).select(*_pair("c", "x")).distinct()
-    more = _verified(staged(rest.join(links, ["a", "b"], "left_anti"), "rest"), texts, threshold, n)
+    source = source.withColumn("h", F.unhex(F.md5(F.concat_ws("\u0001", "kind", "text"))))
+    texts = staged(source.dropDuplicates(["h"]).select("h", "kind", "text", F.monotonically_increasing_id().alias("node")), "texts")
+    signed = staged(_signed(texts.select("node", "text", F.xxhash64("kind")), bands, rows, n), "signed")
+
+    each = signed.select("node", F.explode("keys").alias("key"))
+    sizes = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    shared = staged(each.join(sizes, "key"), "buckets")
+    to_hubs = shared.filter("node <> low").select(*_pair("node", "low")).union(shared.filter("node <> high").select(*_pair("node", "high")))
+    compared = staged(to_hubs.distinct(), "compared")
+    links = staged(_verified(compared, signed, threshold, n), "links")
+    roots = staged(components(links), "roots")
+
+    named = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    mixed = staged(named.join(mixed, "key"), "mixed")
+    few = mixed.filter(F.col("n") <= SMALL)
+    other = few.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"))
+    rest = few.join(other, "key").filter("node < y and root <> y_root").select(*_pair("node", "y"))
+    crowded = signed.join(mixed.filter(F.col("n") > SMALL).select("node", "root").distinct(), "node")
+    rest = rest.union(rare_pairs(crowded, threshold, n)).distinct().join(compared, ["a", "b"], "left_anti")
+    more = staged(_verified(staged(rest, "rest"), signed, threshold, n), "links")
     roots = components(links.unionAll(more))
 
-    members = source.select("kind", "id", "c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left")
-    members = members.select("kind", "id", F.coalesce("root", "c").alias("root")).distinct()
-    firsts = members.groupBy("kind", "root").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id <> last")
-    return members.join(firsts, ["kind", "root"]).filter("id <> first_id").select("kind", "first_id", F.col("id").alias("other_id"))
+    of = texts.select("h", "node").join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("root"))
+    members = staged(source.select("kind", "id", "h").distinct().join(of, "h").select("kind", "id", "root").distinct(), "members")
+    firsts = members.groupBy("root").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id <> last")
+    for done in (texts, signed, shared, compared, mixed):
+        discard(done)
+    return members.join(firsts, "root").filter("id <> first_id").select("kind", "first_id", F.col("id").alias("other_id"))

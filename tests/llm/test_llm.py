@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fraglight.llm import neardup
 from fraglight.llm import queries as llm
 from fraglight.llm.components import components
 from fraglight.llm.ledger import Ledger, canonical_key, formatting_ledger
@@ -20,6 +21,7 @@ from fraglight.llm.neardup import jaccard, near_duplicate_groups
 from fraglight.llm.spans import shared_clusters, shared_spans
 from fraglight.llm.terms import BurstTrie, marked_terms
 from fraglight.llm.tokens import TOKENIZERS, decode_column, encode_column, vocabulary
+from fraglight.sources.tables import staged
 from fraglight.llm.toxicity import SIZE, THRESHOLD, Batch, STEPS, Words, _hash, fit, plain_word, score_documents, sentences
 
 DATA = "/root/testdata/sf0.001"
@@ -193,6 +195,37 @@ def test_near_duplicates(spark, hot):
     assert got == want and want
 
 
+def test_common_passages_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """Texts of one boilerplate, at a similarity of about 0.54 with each other, share most buckets; few pairs are looked at."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    shared = word(280)
+    counts = {}
+
+    def counted(df, name="stage"):
+        out = staged(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    texts = [shared + word(120) for _ in range(300)]
+    texts += [texts[0][:-3] + "xyz", texts[5][:-4] + "wxyz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    assert sorted(tuple(r)[1:] for r in near_duplicate_groups(df, "id", "text").collect()) == [(0, 300), (5, 301)]
+    assert counts["rest"] < 2 * len(texts) and counts["compared"] < 2 * 20 * len(texts)
+
+
+def test_rare_pairs_have_all_that_are_similar(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdef") for _ in range(60)) for _ in range(4)]
+    texts = [rng.choice(base)[: rng.randrange(30, 60)] + "".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 25))) for _ in range(120)]
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node bigint, root bigint, text string")
+    got = {tuple(r) for r in neardup.rare_pairs(df, 0.7, 5).collect()}
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120)]
+    alike = {p for p, j in zip(pairs, jaccard([(texts[a], texts[b]) for a, b in pairs], 5)) if j >= 0.7}
+    assert alike and alike <= got
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "id bigint, text string"), "id", "text").count() == 0
 
