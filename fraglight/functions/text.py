@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 #: Matches that a search with this bound returns: one fewer than the bound; 0 is no bound.
 LOCATED_BOUND = 10
@@ -105,6 +105,20 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | (F.regexp_replace(text, r"(?U)\s", "") == "")
 
 
+def holds_main(fragment: Column) -> Column:
+    """Whether a fragment is left out: it has `main` anywhere, also within a word."""
+    return F.contains(fragment, F.lit("main"))
+
+
+def without_main(dependencies: Column) -> Column:
+    """Dependencies that don't define a main function."""
+    return F.filter(dependencies, lambda d: d.isNotNull() & ~F.contains(d, F.lit("fn main")))
+
+
+def utc_stamp(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
@@ -129,42 +143,72 @@ def provenance(seed: Column, others: Column) -> Column:
 
 #: Fixed value: Unicode white space, as a character class.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE = np.zeros(0x3001, bool)
+_WHITE[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 _BLANK, _BLANK_COMMA = re.compile(f"[{WHITE}]"), re.compile(f"[{WHITE},]")
 
 
+class Stripped:
+    """A text without white space (and commas), with the place in bytes of each character that is left."""
+
+    def __init__(self, text: str, commas: bool = True):
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = _WHITE[np.minimum(chars, 0x3000)] & (chars <= 0x3000)
+        if commas:
+            blank |= chars == 44
+        width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+        kept = np.flatnonzero(~blank)
+        self.end = np.cumsum(width)[kept]
+        self.begin = self.end - width[kept]
+        self.text = chars[kept].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def find(self, want: str, bound: int, start: int = 0) -> list[tuple[int, int]]:
+        """Byte spans of non-overlapping matches of a stripped needle from byte `start` on."""
+        out: list[tuple[int, int]] = []
+        at = self.text.find(want, int(np.searchsorted(self.begin, start))) if want else -1
+        while at >= 0 and (bound == 0 or len(out) < bound - 1):
+            out.append((int(self.begin[at]), int(self.end[at + len(want) - 1])))
+            at = self.text.find(want, at + len(want))
+        return out
+
+
 def find_stripped(haystack: str, needle: str, commas: bool = True, bound: int = LOCATED_BOUND, start: int = 0) -> list[tuple[int, int]]:
     """Byte spans of non-overlapping matches that white space (and commas) don't matter for, from byte `start` on."""
+    return Stripped(haystack, commas).find((_BLANK_COMMA if commas else _BLANK).sub("", needle), bound, start)
+
+
+#: Needles of one text that a worker gets at once.
+NEEDLES = 512
+
+
+def located(pairs: DataFrame, texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str, commas: bool = True, bound: int = LOCATED_BOUND, start: str | None = None) -> DataFrame:
+    """(text_id, needle_id, s, e, match_no): the byte spans of the needle in the text for each pair of ids, from the pair's `start` on if
+    such a column is named. A text is stripped once for its needles, which come in lists of bounded size. Ids are unique in
+    texts and in needles; null and blank texts match nothing."""
     blank = _BLANK_COMMA if commas else _BLANK
-    want = blank.sub("", needle)
-    if not want:
-        return []
-    first = len(haystack.encode()[:start].decode("utf-8", "ignore"))
-    kept = [i for i in range(first, len(haystack)) if not blank.match(haystack[i])]
-    text = "".join(haystack[i] for i in kept)
-    out: list[tuple[int, int]] = []
-    at = text.find(want)
-    while at >= 0 and (bound == 0 or len(out) < bound - 1):
-        s = len(haystack[: kept[at]].encode())
-        out.append((s, s + len(haystack[kept[at] : kept[at + len(want) - 1] + 1].encode())))
-        at = text.find(want, at + len(want))
-    return out
-
-
-def located(pairs: DataFrame, haystack: str, needle: str, keep: list[str], commas: bool = True, bound: int = LOCATED_BOUND) -> DataFrame:
-    """For each pair of texts the byte spans (s, e, match_no) of the needle. Pairs without a match, by a JVM-side test, never
-    reach Python. Null and blank texts match nothing."""
-    hay, want = stripped(F.col(haystack), commas), stripped(F.col(needle), commas)
-    hits = pairs.filter((want != "") & F.contains(hay, want)).select(*keep, F.col(haystack).alias("_h"), F.col(needle).alias("_n"))
-    schema = hits.select(*keep).schema.add("s", LongType()).add("e", LongType()).add("match_no", LongType())
+    kinds = {text_id: texts.schema[text_id].dataType.simpleString(), needle_id: needles.schema[needle_id].dataType.simpleString()}
+    wanted = pairs.select(text_id, needle_id, (F.col(start) if start else F.lit(0)).cast("bigint").alias("_s")).join(needles.select(needle_id, F.col(needle).alias("_n")).filter("_n is not null"), needle_id)
+    counts = pairs.groupBy(text_id).agg((F.count("*") / NEEDLES + 1).cast("int").alias("_lists"))
+    listed = wanted.join(counts, text_id).groupBy(text_id, F.pmod(F.xxhash64(needle_id), F.col("_lists")).alias("_list")).agg(F.collect_list(F.struct(F.col(needle_id).alias("k"), F.col("_n").alias("n"), F.col("_s").alias("s"))).alias("_needles"))
+    joined = listed.join(texts.select(text_id, F.col(text).alias("_h")).filter("_h is not null"), text_id).select(text_id, "_h", "_needles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(r, s, e, n) for r, (h, w) in enumerate(zip(b.column("_h").to_pylist(), b.column("_n").to_pylist())) for n, (s, e) in enumerate(find_stripped(h, w, commas, bound))]
-            rows, s, e, n = list(zip(*found)) or [(), (), (), ()]
-            own = b.select(keep).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(n, pa.int64())], [*keep, "s", "e", "match_no"])
-
-    return hits.mapInArrow(run, schema)
+            lists = b.column(2)
+            ids = lists.flatten().field("k")
+            words, starts = (lists.flatten().field(x).to_pylist() for x in ("n", "s"))
+            offsets = lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            found = []
+            for r, h in enumerate(b.column(1).to_pylist()):
+                plain = Stripped(h, commas)
+                for k in range(offsets[r], offsets[r + 1]):
+                    found += [(r, k, s, e, n) for n, (s, e) in enumerate(plain.find(blank.sub("", words[k]), bound, starts[k]))]
+            rows, own, s, e, n = list(zip(*found)) or [()] * 5
+            cols = [b.column(0).take(pa.array(rows, pa.int64())), ids.take(pa.array(own, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64()) for x in (s, e, n))], [text_id, needle_id, "s", "e", "match_no"])
+
+    return joined.mapInArrow(run, f"`{text_id}` {kinds[text_id]}, `{needle_id}` {kinds[needle_id]}, s bigint, e bigint, match_no bigint")
 
 
 def splice(text: Column, edits: Column, most: int = 0) -> Column:

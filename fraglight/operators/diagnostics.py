@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fraglight.functions.text import compiler_location
 
+# The lines that tell of a crash.
 _PANIC = r"(?d)^thread 'rustc'(?: \(([0-9]+)\))? panicked at (.*?): (.*)$"
 _ERROR = r"(?d)^error: internal compiler error: (.*?): (.*)$"
 _NOTE = r"(?d)^note: delayed at (.*:\d+)(.*)$"

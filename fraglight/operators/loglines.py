@@ -97,10 +97,6 @@ def type_of(token: str) -> str:
     return next((name for name, pattern in _TYPES if pattern.fullmatch(token)), "mark" if len(token) == 1 or not token.strip(":") else "text")
 
 
-def masked(token: str) -> str:
-    return _DIGITS.sub("0", token) if any(c.isdigit() for c in token) else token
-
-
 class Line:
     """Tokens of a line with their places in it."""
 
@@ -109,7 +105,7 @@ class Line:
         self.line = line
         self.raw = [m.group() for m in found]
         self.spans = [m.span() for m in found]
-        self.seq = [masked(t) for t in self.raw]
+        self.seq = _DIGITS.sub("0", " ".join(self.raw)).split(" ") if found else []  # digits masked
 
 
 def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -176,6 +172,10 @@ def _strong(types: Counter) -> str | None:
     return next((k for k in types if k in STRONG), None)
 
 
+def as_text(seq: list[str]) -> str:
+    return "".join([" \x02" if t == WIDE else " " + t for t in seq])
+
+
 class Template:
     """Constants and slots of a cluster of lines, and for each place how often which type of value stands there."""
 
@@ -195,15 +195,16 @@ class Template:
                 self.pieces.append((at, k - at, re.compile(anchors)))
                 at = k + 1
 
-    def places(self, seq: list[str]) -> list[tuple[int, int]] | None:
+    def places(self, seq: list[str], joined: str | None = None) -> list[tuple[int, int]] | None:
         """First and end token of each place of the template in a sequence, or None if it isn't an instance."""
-        text, starts, at = [], {}, 0
+        joined = joined or as_text(seq)
+        if len(self.pieces) == 1:
+            return [(k, k + 1) for k in range(len(seq))] if self.pieces[0][2].match(joined) else None
+        starts, at = {}, 0
         for k, t in enumerate(seq):
             starts[at] = k
-            text.append(" \x02" if t == WIDE else " " + t)
-            at += len(text[-1])
+            at += 2 if t == WIDE else len(t) + 1
         starts[at] = len(seq)
-        joined = "".join(text)
         out: list[tuple[int, int]] = []
         pos = 0
         for first, count, pattern in self.pieces:
@@ -228,7 +229,8 @@ class Template:
         self.n += n
         for mine, (s, e), token in zip(self.types, places, self.seq):
             if token != WIDE:
-                mine.update(types[s])
+                for kind, k in types[s].items():
+                    mine[kind] += k
 
     def widened(self, seq: list[str], types: list[Counter], strong: list[str | None], n: int, pairs: list[tuple[int, int]]) -> Template | None:
         """The common template of this one and another sequence; None where values of telling types would be mixed or lost."""
@@ -260,14 +262,15 @@ class Templates:
         self.all: list[Template] = []
         self.first: dict[str, list[int]] = {}
 
-    def add(self, seq: list[str], types: list[Counter], n: int = 1) -> int:
+    def add(self, seq: list[str], types: list[Counter], n: int = 1, strong: list[str | None] | None = None) -> int:
         """Number of the template that the sequence is an instance of from now on. Types are counted by the caller, unless the
         template is new or widened."""
         have = set(seq)
-        strong = [_strong(c) for c in types]
+        strong = strong or [_strong(c) for c in types]
+        joined = as_text(seq)
         for k in self.first.get(seq[0], []) + self.first.get(SLOT, []) + self.first.get(WIDE, []):
             t = self.all[k]
-            if t.needed <= have and (places := t.places(seq)) is not None and t.suits(places, strong):
+            if t.needed <= have and (places := t.places(seq, joined)) is not None and t.suits(places, strong):
                 t.count(places, types, n)
                 return k
         mine, telling = Counter(t for t in seq if t not in (SLOT, WIDE)), Counter(k for k in strong if k)
@@ -445,7 +448,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Opening lines with the template that a task has for them at the end of a batch; the first line of each template in a
     batch carries its counts."""
     mined = Templates()
-    known: dict[str, Counter] = {}
+    known: dict[str, tuple[Counter, str | None]] = {}
     for batch in batches:
         if len(mined.all) > HELD:
             mined = Templates()
@@ -458,9 +461,10 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 types = []
                 for raw in x.raw:
                     if (one := known.get(raw)) is None:
-                        one = known[raw] = Counter({type_of(raw): 1})
+                        one = Counter({type_of(raw): 1})
+                        one = known[raw] = one, _strong(one)
                     types.append(one)
-                own.append(mined.add(x.seq, types))
+                own.append(mined.add(x.seq, [c for c, _ in types], strong=[k for _, k in types]))
                 rows.append((rid, n, year, line, chunk))
             if len(known) > 200_000:
                 known.clear()

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraglight.functions.text import located, without_comments
+from fraglight.operators.spans import beginning_inside, covering
 from fraglight.sources.tables import staged
 
 # Fixed values.
-PRIMITIVES = "i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str".split()
+PRIMITIVES = ["i8", "i16", "i32", "i64", "i128", "isize", "u8", "u16", "u32", "u64", "u128", "usize", "f32", "f64", "bool", "char", "str"]
 ITEMS = {
     "fn": "function_item", "struct": "struct_item", "enum": "enum_item", "union": "union_item", "trait": "trait_item", "impl": "impl_item",
     "mod": "mod_item", "use": "use_declaration", "const": "const_item", "static": "static_item", "type": "type_item", "let": "let_declaration",
@@ -112,13 +113,12 @@ def structures(nodes: DataFrame) -> DataFrame:
 def inclusion(nodes: DataFrame, spans: DataFrame, on: str, key: list[str]) -> DataFrame:
     """For each span (s2, e2) of a source: (kind, exact, parent_kind, child_kind) of the deepest node that covers it, its parent,
     and the first child that begins inside the span."""
-    pairs = nodes.join(spans, on)
-    cover = pairs.filter("s <= s2 and e2 <= e").groupBy(on, *key).agg(
+    cover = covering(nodes, spans, [on]).groupBy(on, *key).agg(
         F.max_by(F.struct("node_id", "parent_id", "kind", (F.expr("s = s2 and e = e2")).alias("exact")), F.struct("depth", (-F.col("node_id")).alias("x"))).alias("_node")
     )
     parents = nodes.select(on, F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
     found = cover.select(on, *key, "_node.node_id", "_node.parent_id", "_node.kind", "_node.exact").join(parents, [on, "parent_id"], "left")
-    children = pairs.filter("s2 <= s and s < e2").groupBy(on, *key, F.col("parent_id").alias("node_id")).agg(F.min_by("kind", F.struct("s", "ord")).alias("child_kind"))
+    children = beginning_inside(nodes, spans, [on]).groupBy(on, *key, F.col("parent_id").alias("node_id")).agg(F.min_by("kind", F.struct("s", "ord")).alias("child_kind"))
     return found.join(children, [on, *key, "node_id"], "left").select(on, *key, "kind", "exact", "parent_kind", "child_kind")
 
 
@@ -130,29 +130,29 @@ def decided_kind(kind: str = "kind", exact: str = "exact", parent: str = "parent
     return F.coalesce(own, F.col(child), around)
 
 
-def annotated(pairs: DataFrame, nodes: DataFrame, on: str, source: str, fragment: str, key: list[str]) -> DataFrame:
+def annotated(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, on: str, source: str, fragments: DataFrame, key: str, fragment: str) -> DataFrame:
     """(on, key, node_kind, stands) of each pair of a source and a fragment: of its places the first with a type_identifier, else the
     first with a kind. A fragment without a kind there is looked for in the source without comments (its first place counts), then
     without its own comments in either. One that stands nowhere has a null kind, as has one whose places have none."""
-    bare = lambda df, *columns: df.withColumns({c: without_comments(F.col(c)) for c in columns})
+    bare = lambda df, column: df.withColumn(column, without_comments(F.col(column)))
+    commented = texts.filter(F.col(source).rlike("//|/\\*"))
 
-    def places(some: DataFrame, rank: int, bound: int = 20) -> DataFrame:
-        found = located(some, source, fragment, [on, *key], commas=True, bound=bound)
-        return found.select(on, *key, F.lit(rank).alias("rank"), "match_no", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    def places(some: DataFrame, texts: DataFrame, fragments: DataFrame, rank: int, bound: int = 20) -> DataFrame:
+        found = located(some, texts, on, source, fragments, key, fragment, commas=True, bound=bound)
+        return found.select(on, key, F.lit(rank).alias("rank"), "match_no", F.col("s").alias("s2"), F.col("e").alias("e2"))
 
     def best(kinds: DataFrame) -> DataFrame:
         order = F.struct(F.col("node_kind").isNull(), "rank", F.col("node_kind") != "type_identifier", "match_no")
-        return kinds.groupBy(on, *key).agg(F.min_by(F.struct("rank", "node_kind", "match_no"), order).alias("x")).select(on, *key, "x.*")
+        return kinds.groupBy(on, key).agg(F.min_by(F.struct("rank", "node_kind", "match_no"), order).alias("x")).select(on, key, "x.*")
 
     def kinds(nodes: DataFrame, spans: DataFrame) -> DataFrame:
-        return best(inclusion(nodes, spans, on, [*key, "rank", "match_no"]).withColumn("node_kind", decided_kind()).select(on, *key, "rank", "match_no", "node_kind"))
-
-    first = staged(kinds(nodes, places(pairs, 0)), "kinds")
-    left = staged(pairs.join(first.filter("node_kind is not null").select(on, *key), [on, *key], "left_anti"), "left")
-    commented = bare(left.filter(F.col(source).rlike("//|/\\*")), source)
-    spans = staged(places(commented, 1, bound=2).unionByName(places(bare(commented, fragment), 3)), "spans")
-    sources = bare(left.select(on, source).dropDuplicates([on]).join(spans.select(on).distinct(), on, "left_semi"), source)
-    again = kinds(nodes, places(bare(left, fragment), 2)).unionByName(kinds(syntax_nodes(sources, on, source), spans))
-    decided = best(first.unionByName(again)).select(on, *key, "node_kind", F.lit(True).alias("_found"))
-    out = pairs.select(on, *key).distinct().join(decided, [on, *key], "left")
-    return out.select(on, *key, "node_kind", F.col("_found").isNotNull().alias("stands"))
+        return best(inclusion(nodes, spans, on, [key, "rank", "match_no"]).withColumn("node_kind", decided_kind()).select(on, key, "rank", "match_no", "node_kind"))
+
+    first = staged(kinds(nodes, places(pairs, texts, fragments, 0)), "kinds")
+    left = staged(pairs.select(on, key).join(first.filter("node_kind is not null").select(on, key), [on, key], "left_anti"), "left")
+    spans = staged(places(left, bare(commented, source), fragments, 1, bound=2).unionByName(places(left, bare(commented, source), bare(fragments, fragment), 3)), "spans")
+    sources = bare(texts.join(spans.select(on).distinct(), on, "left_semi"), source)
+    again = kinds(nodes, places(left, texts, bare(fragments, fragment), 2)).unionByName(kinds(syntax_nodes(sources, on, source), spans))
+    decided = best(first.unionByName(again)).select(on, key, "node_kind", F.lit(True).alias("_found"))
+    out = pairs.select(on, key).distinct().join(decided, [on, key], "left")
+    return out.select(on, key, "node_kind", F.col("_found").isNotNull().alias("stands"))

@@ -20,6 +20,8 @@ from fraglight.sources.tables import staged
 
 #: Slots that a mutant has at most, unless the config names passes.
 SLOTS = 3
+#: Draws by number for each slot of an attempt.
+DRAWS = 6
 #: Bits of a number that hold a node of one text.
 NODE_BITS = 28
 _SPAN = "struct<s:bigint,e:bigint,kind:string>"
@@ -39,22 +41,34 @@ def attempts(files: DataFrame, key: str, config: Config) -> DataFrame:
 
 def drawn_slots(nodes: DataFrame, tries: DataFrame, key: str, config: Config = Config()) -> DataFrame:
     """(attempt, key, n, s, e, kind): one slot (3 of 7 attempts), two (3 of 7) or three of each, or one of the config's passes, each
-    as often; no two of an attempt overlap. In each round the least hash of those left is drawn, by an aggregate. Attempts at sources without nodes have no slot, and there are
-    fewer slots where nothing is left."""
-    left = nodes.filter("s < e").select(key, "node_id", "s", "e", "kind")
+    as often; no two of an attempt overlap. Nodes are numbered in their source and drawn by number; a draw that overlaps an earlier
+    one is passed over. Attempts for which so many draws don't do go on by the least hash of the nodes that are left. Attempts at
+    sources without nodes have no slot, and there are fewer slots where nothing is left."""
+    order = Window.partitionBy(key).orderBy("node_id")  # the nodes of one text
+    left = nodes.filter("s < e").select(key, "node_id", "s", "e", "kind", (F.row_number().over(order) - 1).cast("bigint").alias("at"))
+    left = staged(left, "numbered")
     draw = F.pmod(pick(F.col("attempt"), F.lit("times")), F.lit(len(config.passes) or 7))
     times = F.get(F.array(*map(F.lit, config.passes)), draw.cast("int")) if config.passes else F.when(draw < 3, 1).when(draw < 6, 2).otherwise(SLOTS)
-    state = tries.select(key, "attempt", times.alias("times"), F.array().cast(f"array<{_SPAN}>").alias("taken"))
-    for n in range(max(config.passes, default=SLOTS)):
-        free = ~F.exists("taken", lambda t: (t.s < F.col("e")) & (F.col("s") < t.e))
-        rows = state.filter((F.col("times") > n) & (F.size("taken") == n)).join(left, key).filter(free)
+    most = max(config.passes, default=SLOTS)
+    asked = tries.select(key, "attempt", times.alias("times")).join(left.groupBy(key).agg(F.count("*").alias("nodes")), key)
+    draws = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DRAWS * most - 1))))
+    draws = draws.withColumn("at", F.pmod(pick(F.col("attempt"), F.col("k").cast("string"), F.lit("slot")), F.col("nodes")))
+    met = draws.join(left, [key, "at"]).groupBy(key, "attempt", "times").agg(F.array_sort(F.collect_list(F.struct("k", F.struct("s", "e", "kind").alias("m")))).alias("drawn"))
+    clash = lambda taken, m: F.exists(taken, lambda t: (t.s < m.e) & (m.s < t.e))
+    step = lambda taken, x: F.when((F.size(taken) >= F.col("times")) | clash(taken, x.m), taken).otherwise(F.array_append(taken, x.m))
+    taken = F.aggregate("drawn", F.array().cast(f"array<{_SPAN}>"), step)
+    state = staged(met.select(key, "attempt", "times", taken.alias("taken")), "slots")
+    done, few = state.filter("size(taken) >= times"), state.filter("size(taken) < times")
+    for n in range(0 if few.isEmpty() else most):
+        rows = few.filter((F.col("times") > n) & (F.size("taken") == n)).join(left, key).filter(~F.exists("taken", lambda t: (t.s < F.col("e")) & (F.col("s") < t.e)))
         # hash and node in one number: the least of numbers is a hash aggregate, that of structs sorts all rows
         ticket = F.shiftleft(F.xxhash64("attempt", "node_id").bitwiseAND((1 << 63 - NODE_BITS) - 1), NODE_BITS) + F.col("node_id")
         least = rows.groupBy(key, "attempt").agg(F.min(ticket).bitwiseAND((1 << NODE_BITS) - 1).alias("node_id"))
         span = least.join(left, [key, "node_id"]).select("attempt", F.struct("s", "e", "kind").alias("m"))
         more = F.when(F.col("m").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("m")))
-        state = staged(state.join(span, "attempt", "left").select(key, "attempt", "times", more.alias("taken")), "slots")
-    return state.select("attempt", key, F.posexplode("taken").alias("n", "t")).select("attempt", key, "n", "t.s", "t.e", "t.kind")
+        few = staged(few.join(span, "attempt", "left").select(key, "attempt", "times", more.alias("taken")), "slots")
+    every = done.select("attempt", key, "taken").unionByName(few.select("attempt", key, "taken"))
+    return every.select("attempt", key, F.posexplode("taken").alias("n", "t")).select("attempt", key, "n", "t.s", "t.e", "t.kind")
 
 
 def snippet_pool(snippets: DataFrame, domain: str, kind: str, key: str) -> DataFrame:

@@ -169,23 +169,22 @@ def fp_filter(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).filter(F.col("file_text").isNotNull()).filter(~tx.contains_any(F.col("file_text"), tx.FALSE_POSITIVES)).select("file_id")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every file with the snippets of its seed that its text may hold."""
+def _located(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, snippet_id, s, e, match_no): the places of snippets in the files of their seed."""
     files = _files(spark, d).filter("seed_file is not null and file_text is not null").select("file_id", "seed_file", "file_text")
-    snippets = _snippets(spark, d).filter("filename is not null").select("snippet_id", F.col("filename").alias("seed_file"), "fragment", "deps")
+    snippets = _snippets(spark, d).filter("filename is not null").select("snippet_id", F.col("filename").alias("seed_file"), "fragment")
     pairs = candidates(files, snippets, "seed_file", "file_id", "file_text", "snippet_id", "fragment")
-    return pairs.join(files, "file_id").join(snippets.drop("seed_file"), "snippet_id")
+    return tx.located(staged(pairs, "pairs"), files, "file_id", "file_text", snippets, "snippet_id", "fragment")
 
 
 def fragment_locate(spark: SparkSession, d: str) -> DataFrame:
     """First place of each fragment in the files of its seed, white space and commas aside, in bytes."""
-    found = tx.located(_pairs(spark, d), "file_text", "fragment", ["file_id", "snippet_id"])
-    return found.filter("match_no = 0").select("file_id", "snippet_id", "s", "e")
+    return _located(spark, d).filter("match_no = 0").select("file_id", "snippet_id", "s", "e")
 
 
 def fragment_locate_all(spark: SparkSession, d: str) -> DataFrame:
     """All places, nine at most of each: the bound is the operator's own."""
-    return tx.located(_pairs(spark, d), "file_text", "fragment", ["file_id", "snippet_id"])
+    return _located(spark, d)
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -198,16 +197,16 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 def span_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Lines of files with what the fragments that overlap them depend on."""
-    found = staged(tx.located(_pairs(spark, d), "file_text", "fragment", ["file_id", "snippet_id", "deps"]), "matches")
-    spans2 = found.select("file_id", "snippet_id", "deps", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = spans.overlap_join(_lines(spark, d), spans2, ["file_id"])
+    spans2 = staged(_located(spark, d), "matches").select("file_id", "snippet_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = spans.overlap_join(_lines(spark, d), spans2, ["file_id"]).select("file_id", "no", "snippet_id").distinct()
+    met = met.join(_snippets(spark, d).select("snippet_id", "deps"), "snippet_id")
     each = met.select("file_id", "no", "snippet_id", F.explode_outer("deps").alias("dep"))
     return each.groupBy("file_id", "no").agg(F.count_distinct("snippet_id").alias("fragments"), F.count_distinct("dep").alias("dependencies"))
 
 
 def span_containment(spark: SparkSession, d: str) -> DataFrame:
     """The deepest node that covers each fragment: its line, or the file."""
-    found = staged(tx.located(_pairs(spark, d), "file_text", "fragment", ["file_id", "snippet_id"]), "matches").filter("match_no = 0")
+    found = staged(_located(spark, d), "matches").filter("match_no = 0")
     lines = _lines(spark, d).select("file_id", "s", "e", F.lit("line").alias("kind"), F.lit(1).alias("depth"))
     roots = _files(spark, d).filter("file_text is not null").select("file_id", F.lit(0).cast("bigint").alias("s"), F.octet_length("file_text").cast("bigint").alias("e"), F.lit("source_file").alias("kind"), F.lit(0).alias("depth"))
     targets = found.select("file_id", "snippet_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
@@ -347,8 +346,7 @@ def annotate_kinds(spark: SparkSession, d: str) -> DataFrame:
     texts = files.withColumn("file_text", F.concat("file_text", F.lit("\u0000"), tx.without_comments(F.col("file_text"))))  # a gram of both is one key
     needles = snippets.unionAll(snippets.filter(commented).withColumn("fragment", tx.without_comments(F.col("fragment"))))
     held = candidates(texts, needles, "seed_file", "file_id", "file_text", "snippet_id", "fragment").distinct()
-    pairs = staged(held.join(files.drop("seed_file"), "file_id").join(snippets.drop("seed_file"), "snippet_id"), "pairs")
-    found = annotated(pairs, staged(_nodes(spark, d), "nodes"), "file_id", "file_text", "fragment", ["snippet_id"]).filter("stands")
+    found = annotated(staged(held, "pairs"), staged(_nodes(spark, d), "nodes"), files, "file_id", "file_text", snippets, "snippet_id", "fragment").filter("stands")
     return snippets.select("snippet_id").join(found, "snippet_id", "left").select("file_id", "snippet_id", "node_kind")
 
 
@@ -371,18 +369,24 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return kept.filter(~tx.seed_ignored(F.col("file_text"), F.col("file"))).select("file_id", "seed_file", "file_text")
 
 
+def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Snippets and dependencies that mutants are made of: no collected fragment with `main`, no dependency that defines it."""
+    snippets = _snippets(spark, d).filter(~(F.coalesce(F.col("source") == "fragment", F.lit(False)) & F.coalesce(tx.holds_main(F.col("fragment")), F.lit(False))))
+    return snippets, table(spark, d, "deps").filter("dep is not null and not contains(dep, 'fn main')")
+
+
 def corpus_mutants(spark: SparkSession, d: str) -> DataFrame:
     """Ten attempts at every file in the way that its hash gives: spliced with snippets of fitting families, their placeholders filled
     and dependencies in front, or edited once."""
     nodes = staged(structures(_nodes(spark, d)), "nodes")
-    made = mutants(nodes, _seeds(spark, d), _snippets(spark, d), table(spark, d, "deps"), PROFILES["full"], "file_id", "file_text", "seed_file")
+    made = mutants(nodes, _seeds(spark, d), *_pool(spark, d), PROFILES["full"], "file_id", "file_text", "seed_file")
     return made.select("file_id", "attempt", "way", "id", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
 def baseline_mutants(spark: SparkSession, d: str) -> DataFrame:
     """Ten attempts at every file with two to nine slots, a third of them chaotic, nothing else adapted."""
     nodes = staged(structures(_nodes(spark, d)), "nodes")
-    made = mutants(nodes, _seeds(spark, d), _snippets(spark, d), table(spark, d, "deps"), PROFILES["baseline"], "file_id", "file_text", "seed_file")
+    made = mutants(nodes, _seeds(spark, d), *_pool(spark, d), PROFILES["baseline"], "file_id", "file_text", "seed_file")
     return made.select("file_id", "attempt", "id", F.octet_length("content").cast("bigint").alias("bytes"))
 
 

@@ -54,3 +54,16 @@ def next_iteration(spark: SparkSession, folder: str) -> int:
 def by_content(texts: DataFrame, text: str) -> DataFrame:
     """(id, text) of each distinct text; the id is a hash of the content."""
     return texts.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders right below a folder, in order."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(target) if x.isDirectory()) if files.exists(target) else []
+
+
+def new_folders(before: list[str], after: list[str]) -> list[str]:
+    """Those that came since."""
+    return sorted(set(after) - set(before))

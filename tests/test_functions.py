@@ -90,8 +90,12 @@ def test_stripped_search_cases(spark):
     assert tx.find_stripped("let v = vec![1,\n  2];", "vec![1, 2]") == [(8, 20)]
     assert tx.find_stripped("abc", " \n") == []
     assert tx.find_stripped("x x x", "x", start=1) == [(2, 3), (4, 5)]
-    df = spark.createDataFrame([(1, "a b a b", "ab"), (2, None, "a"), (3, "a", None), (4, "a", " ")], "k int, h string, n string")
-    assert sorted(map(tuple, tx.located(df, "h", "n", ["k"]).collect())) == [(1, 0, 3, 0), (1, 4, 7, 1)]
+    texts = spark.createDataFrame([(1, "a b a b", 0), (2, None, 0), (3, "é ab", 0)], "t int, h string, s int")
+    needles = spark.createDataFrame([("x", "ab"), ("y", None), ("z", " ,"), ("w", "é")], "n string, part string")
+    pairs = texts.select("t").crossJoin(needles.select("n"))
+    want = [(1, "x", 0, 3, 0), (1, "x", 4, 7, 1), (3, "w", 0, 2, 0), (3, "x", 3, 5, 0)]
+    assert sorted(map(tuple, tx.located(pairs, texts, "t", "h", needles, "n", "part").collect())) == want
+    assert tx.located(pairs.limit(0), texts, "t", "h", needles, "n", "part").count() == 0
 
 
 def test_comments_and_paths(spark):

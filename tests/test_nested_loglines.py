@@ -137,7 +137,7 @@ def test_fields_come_through_mining(monkeypatch):
     templates = []
     assert mined(lines, templates) == set(templates) == {"[ 0-0-0 0:0:0 ] [ <*> ] [ <*> ] late <*> in round 0"}
 
-    def alone(self, seq, types, n=1):
+    def alone(self, seq, types, n=1, strong=None):
         self.all.append(loglines.Template([*seq, str(len(self.all))], [*types, Counter()], n))
         return len(self.all) - 1
 

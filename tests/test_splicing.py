@@ -32,23 +32,35 @@ def given(spark):
 
 
 def families(kind):
-    own = [f for f, kinds in FAMILIES.items() if kind in kinds.split()]
+    own = [f for f, kinds in FAMILIES.items() if kind in kinds]
     return own or [kind if kind is not None else ""]
 
 
-def test_slots_equal_greedy_draws(spark, given):
+@pytest.mark.parametrize("draws", [6, 1])
+def test_slots_equal_draws_one_by_one(spark, given, monkeypatch, draws):
+    """By number first; attempts that lack slots after so many draws go on by the least hash."""
+    monkeypatch.setattr(sp, "DRAWS", draws)
     files, nodes, *_ = given
     tries = sp.attempts(files, "file_id", Config(per_seed=15))
     got: dict = {}
     for r in sp.drawn_slots(nodes, tries, "file_id").orderBy("n").collect():
         got.setdefault(r.attempt, []).append((r.s, r.e, r.kind))
-    hashed = tries.join(nodes, "file_id").filter("s < e").select("attempt", F.xxhash64("attempt", "node_id").bitwiseAND((1 << 63 - sp.NODE_BITS) - 1).alias("h"), "s", "e", "kind").collect()
-    times = {r.attempt: r.d for r in tries.select("attempt", F.pmod(sp.pick(F.col("attempt"), F.lit("times")), F.lit(7)).alias("d")).collect()}
-    want: dict = {}
-    for r in sorted(hashed, key=lambda r: (r.h, r.s, r.e, r.kind)):
-        taken = want.setdefault(r.attempt, [])
-        if len(taken) < (1 if times[r.attempt] < 3 else 2 if times[r.attempt] < 6 else 3) and all(r.e <= s or e <= r.s for s, e, _ in taken):
-            taken.append((r.s, r.e, r.kind))
+    own: dict = {}
+    for r in nodes.filter("s < e").orderBy("node_id").collect():
+        own.setdefault(r.file_id, []).append((r.s, r.e, r.kind))
+    sizes = spark.createDataFrame([(k, len(v)) for k, v in own.items()], "file_id bigint, nodes bigint")
+    numbers = F.array(*(F.pmod(sp.pick(F.col("attempt"), F.lit(str(k)), F.lit("slot")), F.col("nodes")) for k in range(draws * sp.SLOTS)))
+    rows = tries.join(sizes, "file_id").select("file_id", "attempt", numbers.alias("numbers"), F.pmod(sp.pick(F.col("attempt"), F.lit("times")), F.lit(7)).alias("d")).collect()
+    hashed: dict = {}
+    for r in tries.join(nodes, "file_id").filter("s < e").select("attempt", F.xxhash64("attempt", "node_id").bitwiseAND((1 << 63 - sp.NODE_BITS) - 1).alias("h"), "s", "e", "kind").collect():
+        hashed.setdefault(r.attempt, []).append((r.h, (r.s, r.e, r.kind)))
+    want = {}
+    for r in rows:
+        times, taken = 1 if r.d < 3 else 2 if r.d < 6 else 3, []
+        for m in [own[r.file_id][n] for n in r.numbers] + [m for _, m in sorted(hashed[r.attempt])]:
+            if len(taken) < times and all(m[1] <= s or e <= m[0] for s, e, _ in taken):
+                taken.append(m)
+        want[r.attempt] = taken
     assert got == want and {len(v) for v in got.values()} == {1, 2, 3}
 
 

@@ -17,9 +17,10 @@ def test_parse():
 def test_annotation(spark):
     source = "use std::fmt;\nfn é() { let x: Foo = Foo::new(1); }"
     files = spark.createDataFrame([(1, source), (2, None)], "file_id bigint, text string")
-    rows = [(1, 1, source, "use  std::fmt;"), (1, 2, source, "absent"), (1, 3, source, "Foo"), (1, 4, source, "fn é() { /* c */ let x: Foo = Foo::new(1); }")]
-    pairs = spark.createDataFrame(rows, "file_id bigint, n int, text string, fragment string")
-    got = {r.n: r.node_kind for r in annotated(pairs, syntax_nodes(files, "file_id", "text"), "file_id", "text", "fragment", ["n"]).collect()}
+    rows = [(1, "use  std::fmt;"), (2, "absent"), (3, "Foo"), (4, "fn é() { /* c */ let x: Foo = Foo::new(1); }")]
+    fragments = spark.createDataFrame(rows, "n int, fragment string")
+    pairs = fragments.select(F.lit(1).cast("bigint").alias("file_id"), "n")
+    got = {r.n: r.node_kind for r in annotated(pairs, syntax_nodes(files, "file_id", "text"), files, "file_id", "text", fragments, "n", "fragment").collect()}
     assert got == {1: "use_declaration", 2: None, 3: "type_identifier", 4: "function_item"}
 
 
@@ -82,3 +83,69 @@ def test_candidates_hold_every_match(spark):
     plain = lambda x: x.replace(" ", "").replace(",", "").replace("\n", "")
     want = {(a, b) for a, g, x in texts for b, h, y in needles if x is not None and y is not None and g == h and g is not None and plain(y) and plain(y) in plain(x)}
     assert want <= got and want
+
+
+def test_campaign_has_a_budget_and_refuses_other_folders(spark, tmp_path):
+    import pytest
+
+    runs = spark.createDataFrame([("f", "error: internal compiler error: compiler/a.rs:1:1: x"), ("g", None)], "file string, stderr string")
+    campaign = Campaign(spark, f"file://{tmp_path}/c")
+    campaign.header("full", 2.0, ["plain", "opt"])
+    ticks, dropped = iter([0, 0, 1, 3]), []
+    done = campaign.run(lambda n: runs, lambda df: df, budget=2.0, clock=lambda: next(ticks), cleanup=lambda df: dropped.append([r.file for r in df.collect()]))
+    assert done == 2 and dropped == [["g"]] * 2 and campaign.log().count() == 2
+    assert [(r.mutator, r.budget_secs, r.variants) for r in campaign.runs().collect()] == [("full", 2.0, "plain, opt")]
+    assert Campaign(spark, f"file://{tmp_path}/c").next_iteration() == 2
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file.txt").write_text("x")
+    with pytest.raises(ValueError):
+        Campaign(spark, f"file://{tmp_path}/other")
+
+
+def test_sinks(spark, tmp_path):
+    from fraglight.sources.files import folders, new_folders
+    from fraglight.sources.sinks import drop_each, renamed, write_each
+
+    df = spark.createDataFrame([("a/b.rs", "é"), ("a/b.rs", "a"), ("c.rs", ""), ("../x.rs", "no"), (None, "no"), ("d.rs", None)], "rel string, text string")
+    before = folders(spark, f"file://{tmp_path}/out")
+    got = write_each(df.withColumn("name", renamed("rel", ".txt")), "name", "text", f"file://{tmp_path}/out").collect()
+    assert sorted(map(tuple, got)) == [("a/b.txt", 2), ("c.txt", 0)]
+    assert (tmp_path / "out/a/b.txt").read_text() == "é" and not (tmp_path / "x.txt").exists()
+    assert new_folders(before, folders(spark, f"file://{tmp_path}/out")) == ["a"]
+    gone = drop_each(spark.createDataFrame([("a/b.txt",), ("a",), ("none",)], "name string"), "name", f"file://{tmp_path}/out").collect()
+    assert sorted(map(tuple, gone)) == [("a", False), ("a/b.txt", True), ("none", False)]
+
+
+def test_strict_answers(spark):
+    from fraglight.operators.answers import strict_answers
+
+    good = '{"intro-structures": ["use a;"], "fragments": [{"fragment": "f", "criteria": "1", "dependencies": [], "placeholders": [{"placeholder": "p", "node_kind": null}], "more": 1}], "x": 2}'
+    bad = [good.replace('"criteria": "1"', '"criteria": 1'), good.replace('"dependencies": []', '"dependencies": [1]'), good.replace('["use a;"]', "null"), good.replace('{"placeholder": "p", "node_kind": null}', '"p"'), '{"fragments": []}', "[]"]
+    rows = [good, f"```json\n{good}\n```", *bad, "prose", None, "", good.replace('"x": 2', '"fragments": []')]
+    got = strict_answers(spark.createDataFrame([(n, b) for n, b in enumerate(rows)], "n int, b string"), "b").orderBy("n").collect()
+    assert [r.status for r in got] == ["plain", "fenced", *["schema"] * 6, "error", "missing", "error", "error"]
+    assert got[1].document.fragments[0].placeholders[0].placeholder == "p" and got[1].document.intro == ["use a;"] and got[2].document is None
+
+
+def test_placeholders_are_looked_for_from_their_fragment_on(spark):
+    from fraglight.operators.answers import placeholder_kinds
+
+    source = "fn x() { let n = 1; }\nfn y() { g(x); }"
+    files = spark.createDataFrame([(1, source)], "file_id bigint, text string")
+    found = spark.createDataFrame([(1, 7, source.index("fn y"))], "file_id bigint, n bigint, s bigint")
+    fragments = spark.createDataFrame([(7, ["x", "y", "absent", None, "1"])], "n bigint, names array<string>")
+    got = placeholder_kinds(found, syntax_nodes(files, "file_id", "text"), files, "file_id", "text", fragments, "n", "names").orderBy("p").collect()
+    assert [(r.placeholder, r.node_kind) for r in got] == [("x", "identifier"), ("y", "identifier"), ("absent", None), (None, None), ("1", None)]
+
+
+def test_documents_hold_what_stands_in_a_file(spark, tmp_path):
+    import json
+
+    from fraglight.plans.records import annotated_documents
+
+    spark.createDataFrame([(1, "s", "fn f() { let v: Foo = 1; }"), (2, "s", "x")], "file_id bigint, seed_file string, file_text string").write.parquet(f"{tmp_path}/mutant_files.parquet")
+    snippets = [(1, "s", "let v: Foo = 1;", [("v", "k"), ("zz", None)], [1]), (2, "s", "absent", None, None)]
+    spark.createDataFrame(snippets, "snippet_id bigint, filename string, fragment string, placeholders array<struct<ph:string,kind:string>>, deps array<bigint>").write.parquet(f"{tmp_path}/snippets.parquet")
+    got = {r.file_id: json.loads(r.json) for r in annotated_documents(spark, str(tmp_path)).collect()}
+    named = [{"placeholder": "v", "node_kind": "identifier"}, {"placeholder": "zz", "node_kind": None}]
+    assert got == {1: {"fragments": [{"snippet_id": 1, "fragment": "let v: Foo = 1;", "node_kind": "let_declaration", "placeholders": named}]}}
