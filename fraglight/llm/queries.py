@@ -117,21 +117,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _scored(spark: SparkSession, d: str, also: str | None = None) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = fit(labelled_documents(documents, table(spark, d, "doc_labels")))
+    return score_documents(documents, "doc_id", "text", model, also)
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its score and the offsets of what offends."""
-    documents = table(spark, d, "documents")
-    weights = fit(labelled_documents(documents, table(spark, d, "doc_labels")))
-    return score_documents(documents, "doc_id", "text", weights)
+    return _scored(spark, d)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_scores(spark, d).filter(F.col("score") >= THRESHOLD).select("doc_id")
+    return _scored(spark, d).filter(F.col("score") >= THRESHOLD).select("doc_id")
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Documents and found ones of each source, and their rate. Documents without a source make a group of their own."""
-    scored = p10_scores(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    by = scored.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= THRESHOLD).alias("found"))
+    by = _scored(spark, d, "source").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= THRESHOLD).alias("found"))
     return by.withColumn("rate", F.col("found") / F.col("documents"))
 
 

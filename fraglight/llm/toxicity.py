@@ -2,8 +2,8 @@
 
 A linear-chain conditional random field tags the tokens of each sentence. Labels are given by document, so the labels of
 tokens are found in turns: the field of the last turn says which sentences of a document labelled abusive are meant; in the
-first turn a small list of words does. Each turn trains on parts of the labelled documents side by side in Spark
-tasks and averages their weights (iterative parameter mixing). Forward-backward marginals of the tokens then make the score
+first turn a small list of words does. Each turn trains emission weights and the four transition scores on parts of the
+labelled documents side by side in Spark tasks, and averages them (iterative parameter mixing). Forward-backward marginals of the tokens then make the score
 of a sentence or of its strongest stretch, the greatest of them that of the document, and their stretches above one half the offending offsets.
 
 Disguises are taken off before: letters of other scripts or digits in place of similar letters, letters repeated, spaced
@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraglight.sources.tables import staged
+
 SIZE = 1 << 18
-#: Labelled documents that training takes at most (by hash of their id), documents of a part, most parts, turns, passes.
-MOST_LABELLED, PART, PARTS, TURNS, PASSES = 20_000, 250, 8, 4, 6
-LONGEST = 64
+#: Labelled documents that training takes at most (by hash of their id), documents of a part at least, most parts, turns, passes.
+MOST_LABELLED, PART, PARTS, TURNS, PASSES = 20_000, 1000, 8, 4, 6
 THRESHOLD = 0.6
+#: Tokens that chains side by side fill, with the room that shorter ones leave; a longer chain comes alone.
+AREA = 1 << 17
 #: Tokens of a window by which a long sentence is scored.
 STRETCH = 6
 
@@ -85,15 +88,15 @@ class Words:
     UNI = 5
 
     def __init__(self) -> None:
-        self.of: dict[str, int] = {}
+        self.of: dict[tuple[str, str], int] = {}
         self.hash: list[int] = []
         self.uni: list[list[int]] = []
         self.klass: list[int] = []
 
     def __call__(self, token: str, kind: str) -> int:
-        k = self.of.get(token)
+        k = self.of.get((token, kind))
         if k is None:
-            k = self.of[token] = len(self.hash)
+            k = self.of[token, kind] = len(self.hash)
             if kind == "code" or (kind == "word" and ("_" in token or _CAMEL.search(token))):
                 word = "<id>"
             elif token.isdigit():
@@ -128,7 +131,7 @@ def identifier_words(token: str, at: int) -> Iterator[tuple[str, tuple[int, int]
 
 
 def sentences(text: str, words: Words) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-    """Token numbers and their offsets of each sentence, long ones in parts."""
+    """Token numbers and their offsets of each sentence."""
     at = 0
     for m in [*_END.finditer(text), None]:
         stop = m.start() if m else len(text)
@@ -142,9 +145,6 @@ def sentences(text: str, words: Words) -> Iterator[tuple[list[int], list[tuple[i
             for k, span in found:
                 ids.append(k)
                 spans.append(span)
-                if len(ids) == LONGEST:
-                    yield ids, spans
-                    ids, spans = [], []
         if ids:
             yield ids, spans
         at = m.end() if m else stop
@@ -183,14 +183,24 @@ class Batch:
         odds = np.log(q / (1 - q)) - base
         return np.bincount(self.owner, odds[self.pair], len(self.sizes)) / self.sizes
 
-    def marginals(self, weights: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    def _chunks(self) -> Iterator[np.ndarray]:
+        """Sentences of like length, side by side in chunks of a bounded area."""
+        order = np.argsort(self.sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            sizes = self.sizes[order[at:]]
+            n = max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), AREA)))
+            yield order[at : at + n]
+            at += n
+
+    def marginals(self, weights: np.ndarray, steps: np.ndarray, expected: np.ndarray | None = None, use: np.ndarray | None = None) -> np.ndarray:
         """Probability of the tag of each token, by forward-backward over all sentences side by side. steps: scores of the
-        transitions from and to the tag, [[out-out, out-in], [in-out, in-in]]."""
+        transitions from and to the tag, [[out-out, out-in], [in-out, in-in]]. expected, if given, gains the expected number of
+        each transition, each sentence weighed by use."""
         odds = np.exp(np.clip(weights[self.features].sum(1), -40, 40))
         (oo, oi), (io, ii) = np.exp(steps)
         out = np.empty(len(odds))
-        order = np.argsort(self.sizes, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 500)):  # sentences of like length side by side
+        for part in self._chunks():
             sizes, begin = self.sizes[part], self.begin[part]
             longest = int(sizes.max(initial=0))
             alive = np.arange(longest)[:, None] < sizes[None, :]
@@ -206,6 +216,10 @@ class Batch:
                 back[t] = np.where(alive[t + 1], (io + ii * x) / (oo + oi * x), 1.0)
             both = forward * back
             out[at[alive]] = (both / (1 + both))[alive]
+            if expected is not None:
+                f, x = forward[:-1], (e * back)[1:]
+                pairs = np.array([[np.full_like(f, oo), oi * x], [io * f, ii * f * x]])
+                expected += (pairs / pairs.sum((0, 1)) * alive[1:] * use[part]).sum((2, 3))
         return out
 
     def sentence_scores(self, p: np.ndarray) -> np.ndarray:
@@ -226,8 +240,10 @@ class Batch:
         return best
 
 
-#: Scores of transitions: sentences are mostly of one kind throughout.
+#: Scores of transitions that training begins with and is drawn to: sentences are mostly of one kind throughout.
 STEPS = np.array([[1.0, -1.5], [-1.5, 1.0]])
+#: How strongly, in transitions.
+HELD_TO = 200.0
 
 
 def _read(texts: list[str]) -> tuple[Batch, np.ndarray]:
@@ -250,8 +266,9 @@ def _count(texts: list[str], labels: list[int]) -> np.ndarray:
     return out
 
 
-def _train(texts: list[str], labels: list[int], weights: np.ndarray, turn: int, counts: np.ndarray) -> np.ndarray:
-    """Weights after some passes over the sentences of labelled documents (AdaGrad on the likelihood of the field).
+def _train(texts: list[str], labels: list[int], model: np.ndarray, turn: int, counts: np.ndarray) -> np.ndarray:
+    """Weights and transition scores after some passes over the sentences of labelled documents (AdaGrad on the likelihood of the
+    field).
 
     Which sentences of a document labelled abusive are meant: those that the list of words hits (first turn) or the last
     weights tag, unless others have them too; where that gives none, those whose pairs of words are typical of such
@@ -259,42 +276,51 @@ def _train(texts: list[str], labels: list[int], weights: np.ndarray, turn: int,
     batch, doc = _read(texts)
     abusive = np.array(labels)[doc] == 1
     evidence = batch.evidence(counts)
+    weights, steps = model[:SIZE].copy(), model[SIZE:].reshape(2, 2).copy()
     if turn == 0:
         meant = abusive & batch.hit & (evidence > 0)
     else:
-        score = batch.sentence_scores(batch.marginals(weights, STEPS))
+        score = batch.sentence_scores(batch.marginals(weights, steps))
         meant = abusive & (score >= 0.5) & (evidence > 0)
     explained = np.zeros(len(texts), bool)
     explained[doc[meant]] = True
     meant |= abusive & ~explained[doc] & (evidence > 1.5)
     used = ~abusive | meant | (evidence < 0)
     tag = meant[batch.owner].astype(float)
-    use = used[batch.owner]
-    weights = weights.copy()
-    power = np.full(SIZE, 1e-2)
+    power, step_power = np.full(SIZE, 1e-2), np.full((2, 2), 1e-2)
     flat = batch.features.ravel()
     width = batch.features.shape[1]
-    heavier = np.where(tag > 0, 4.0, 1.0) * use
+    each = np.where(meant, 4.0, 1.0) * used
+    heavier = each[batch.owner]
+    within = np.maximum(batch.sizes - 1, 0) * each  # transitions of a sentence all go from one tag to the same
+    seen = np.array([[within[~meant].sum(), 0.0], [0.0, within[meant].sum()]])
     for _ in range(PASSES):
-        p = batch.marginals(weights, STEPS)
+        expected = np.zeros((2, 2))
+        p = batch.marginals(weights, steps, expected, each)
         slope = np.bincount(flat, np.repeat((p - tag) * heavier, width), SIZE) + 0.02 * weights
         power += slope * slope
         weights -= 0.35 * slope / np.sqrt(power)
-    return weights
+        slope = expected - seen + HELD_TO * (steps - STEPS)
+        step_power += slope * slope
+        steps -= 0.1 * slope / np.sqrt(step_power)
+    return np.concatenate([weights, steps.ravel()])
 
 
 def fit(labelled: DataFrame, most: int = MOST_LABELLED, turns: int = TURNS) -> np.ndarray:
-    """labelled (id, text, abusive 0 or 1) -> weights. At most `most` documents are used, those with the least hash of
-    their id; the parts are trained side by side, only their weights (1 MB each, at most PARTS) come to the driver."""
-    labelled = labelled.filter("text <> '' and abusive is not null").orderBy(F.xxhash64("id")).limit(most)
+    """labelled (id, text, abusive 0 or 1) -> the model: weights, then transition scores. About `most` documents are used at most,
+    those with the least hash of their id; the parts are trained side by side, only their models (1 MB each, at most PARTS) come
+    to the driver."""
+    labelled = labelled.filter("text <> '' and abusive is not null and id is not null")
     n = labelled.count()
-    parts = max(1, min(PARTS, n // PART))
-    spread = labelled.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "text", "abusive").repartition(parts, "part").persist()
-    weights, counts = np.zeros(SIZE, np.float32), np.zeros((2, SIZE), np.float32)
+    if n > most:
+        labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    parts = max(1, min(PARTS, min(n, most) // PART))
+    spread = staged(labelled.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "text", "abusive"), "labelled").repartition(parts, "part")
+    model, counts = np.concatenate([np.zeros(SIZE), STEPS.ravel()]).astype(np.float32), np.zeros((2, SIZE), np.float32)
     context = labelled.sparkSession.sparkContext
 
     for turn in range(-1, turns if n else -1):
-        given = context.broadcast((weights, counts))  # 3 MB
+        given = context.broadcast((model, counts))  # 3 MB
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, given=given) -> Iterator[pa.RecordBatch]:
             texts: dict[int, list[str]] = {}
@@ -303,30 +329,30 @@ def fit(labelled: DataFrame, most: int = MOST_LABELLED, turns: int = TURNS) -> n
                 for part, text, label in zip(*(b.column(k).to_pylist() for k in range(3))):
                     texts.setdefault(part, []).append(text)
                     labels.setdefault(part, []).append(label)
-            w, c = given.value
-            out = [_count(texts[k], labels[k]) if turn < 0 else _train(texts[k], labels[k], w.astype(np.float64), turn, c) for k in texts]
+            m, c = given.value
+            out = [_count(texts[k], labels[k]) if turn < 0 else _train(texts[k], labels[k], m.astype(np.float64), turn, c) for k in texts]
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x in out], pa.binary())], ["w"])
 
         made = [np.frombuffer(r[0], np.float32) for r in spread.mapInArrow(run, "w binary").collect()]
         if turn < 0:
             counts = np.sum(made, axis=0).reshape(2, SIZE)
         else:
-            weights = np.mean(made, axis=0)
+            model = np.mean(made, axis=0)
         given.unpersist()
-    spread.unpersist()
-    return weights
+    return model
 
 
-def score_documents(df: DataFrame, key: str, text: str, weights: np.ndarray) -> DataFrame:
-    """(key, score, spans array<struct<start,end>>) of every row: the score of the worst sentence or stretch, and the offsets of
+def score_documents(df: DataFrame, key: str, text: str, model: np.ndarray, also: str | None = None) -> DataFrame:
+    """(key, score, spans array<struct<start,end>>), and another column if named, of every row: the score of the worst sentence or stretch, and the offsets of
     stretches of tokens more likely offending than not. A null or empty text scores 0 without spans. Texts are scored whole,
     rows keep their partitions; other columns aren't carried, so none can clash."""
     kind = df.schema[key].dataType.simpleString()
-    model = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # SIZE numbers, 1 MB
+    given = df.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # SIZE numbers and four, 1 MB
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
+        weights, steps = given.value[:SIZE], given.value[SIZE:].reshape(2, 2).astype(float)
         for whole in batches:
             for at in range(0, whole.num_rows, 400):
                 part = whole.slice(at, 400)
@@ -341,7 +367,7 @@ def score_documents(df: DataFrame, key: str, text: str, weights: np.ndarray) ->
                 offending: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for lo in range(0, len(found), 4000):
                     batch = Batch(found[lo : lo + 4000], words)
-                    p = batch.marginals(model.value, STEPS)
+                    p = batch.marginals(weights, steps)
                     score = batch.stretch_scores(p)
                     own = np.array(doc[lo : lo + 4000])
                     np.maximum.at(best, own, score)
@@ -351,10 +377,12 @@ def score_documents(df: DataFrame, key: str, text: str, weights: np.ndarray) ->
                         high = np.flatnonzero(p[begin : begin + batch.sizes[s]] >= 0.5)
                         for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1) if len(high) else []:
                             offending[own[s]].append({"start": spans[run[0]][0], "end": spans[run[-1]][1]})
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best), pa.array(offending, spans_type)], ["k", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(best), pa.array(offending, spans_type)], ["k", "also", "score", "spans"])
 
-    made = df.select(key, text).mapInArrow(run, f"k {kind}, score double, spans array<struct<start:int,end:int>>")
-    return made.withColumnRenamed("k", key)
+    other = F.col(also) if also else F.lit(None).cast("string")
+    carried = df.schema[also].dataType.simpleString() if also else "string"
+    made = df.select(F.col(key).alias("k"), F.col(text).alias("t"), other.alias("also")).mapInArrow(run, f"k {kind}, also {carried}, score double, spans array<struct<start:int,end:int>>")
+    return made.select(F.col("k").alias(key), *([F.col("also").alias(also)] if also else []), "score", "spans")
 
 
 def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

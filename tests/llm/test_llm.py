@@ -11,14 +11,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fraglight.llm import neardup
+from fraglight.llm import neardup, spans, terms
 from fraglight.llm import queries as llm
 from fraglight.llm.components import components
 from fraglight.llm.ledger import Ledger, canonical_key, formatting_ledger
 from fraglight.llm.linkage import Linker, learned, link_history, place
 from fraglight.llm.mixing import mixed
 from fraglight.llm.neardup import jaccard, near_duplicate_groups
-from fraglight.llm.spans import shared_clusters, shared_spans
+from fraglight.llm.spans import bands_for, distances, shared_clusters, shared_spans, stretches
 from fraglight.llm.terms import BurstTrie, marked_terms
 from fraglight.llm.tokens import TOKENIZERS, decode_column, encode_column, vocabulary
 from fraglight.sources.tables import staged
@@ -91,7 +91,7 @@ def test_shared_spans(spark, seed):
     rows = [(k, t, "x") for k, t in records.items()]
     rows += rows[:5] + [(None, text(90), "x"), (99, None, "x"), (98, "", "x")]
     df = spark.createDataFrame(rows, "rec bigint, text string, band string")
-    got = [tuple(r) for r in shared_spans(df, span=24, shingle=8).collect()]
+    got = [tuple(r) for r in shared_spans(df, span=24, shingle=8, bands=1 + seed % 2).select("rec", "s", "e").collect()]
     assert sorted(got) == sorted(brute_spans(records, 24))
     clusters = {r.rec: r.cluster for r in shared_clusters(df, span=24, shingle=8).collect()}
     edges = []
@@ -110,7 +110,40 @@ def test_shared_spans_of_many_contexts(spark):
     shared = word(20)
     records = {k: word(30) + shared[: 12 + k % 9] + word(30) for k in range(90)} | {200 + k: "same text " * 9 for k in range(150)}
     df = spark.createDataFrame(list(records.items()), "rec bigint, text string")
-    assert sorted(map(tuple, shared_spans(df, span=16, shingle=6).collect())) == sorted(brute_spans(records, 16))
+    assert sorted(map(tuple, shared_spans(df, span=16, shingle=6).select("rec", "s", "e").collect())) == sorted(brute_spans(records, 16))
+
+
+def test_bands_have_the_recall_they_are_tuned_to():
+    """Windows with a few characters replaced: the share of pairs that meet in a band, against the tuned one."""
+    assert bands_for() == 1 and bands_for(0.99, 0.5) == 7 and bands_for(0.9, 0.5, rows=2) == 9
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice("abcdefgh") for _ in range(40)]
+        b = a[:]
+        b[rng.choice([0, 5, 20, 39])] = "x"
+        pairs.append(("".join(a), "".join(b)))
+    alike = [len(x & y) / len(x | y) for x, y in (({t[i : i + 8] for i in range(33)} for t in p) for p in pairs)]
+    bands = bands_for(0.95, min(alike))
+    keys = [[stretches(list(side), 40, 8, band)[4] for side in zip(*pairs)] for band in range(bands)]
+    met = np.any([x == y for x, y in keys], axis=0).mean()
+    assert met >= 0.95 and np.mean(keys[0][0] == keys[0][1]) < met
+
+
+def test_distances():
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in ("xxabcdef", "abcdxf"))
+    assert distances(a, b, -2, 3).tolist() == [4, 4, 0, 0, 1, 1] and distances(b, a, 2, 3).tolist() == [0, 0, 1, 1]
+    assert distances(a[:2], b, 0, 3).tolist() == []
+
+
+def test_long_records_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PIECE", 50)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    parts = [word(40) for _ in range(8)]
+    records = {k: "".join(rng.choice(parts) + word(3) for _ in range(12)) for k in range(4)}
+    df = spark.createDataFrame(list(records.items()), "rec bigint, text string")
+    assert sorted(map(tuple, shared_spans(df, span=24, shingle=8).select("rec", "s", "e").collect())) == sorted(brute_spans(records, 24))
 
 
 def test_shared_spans_of_nothing(spark):
@@ -212,7 +245,7 @@ def test_common_passages_below_the_threshold_make_no_pairs(spark, monkeypatch):
     texts += [texts[0][:-3] + "xyz", texts[5][:-4] + "wxyz"]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     assert sorted(tuple(r)[1:] for r in near_duplicate_groups(df, "id", "text").collect()) == [(0, 300), (5, 301)]
-    assert counts["rest"] < 2 * len(texts) and counts["compared"] < 2 * 20 * len(texts)
+    assert counts["rest"] < 4 * len(texts) and counts["compared"] < 2 * 20 * len(texts)
 
 
 def test_rare_pairs_have_all_that_are_similar(spark):
@@ -351,13 +384,33 @@ def test_burst_trie(terms):
     for t in terms:
         trie.add(t, 2, 1)
     got = Counter()
-    for route, leaf in trie.subtrees():
-        for suffix, (occurrences, records) in leaf.items():
+    for route, ends, leaf in trie.subtrees():
+        for suffix, (occurrences, records) in (leaf or {}).items():
+            assert not ends or suffix == ""
             assert occurrences == 2 * records
             got[route + suffix] += records
     assert got == Counter(terms)
 
 
+def test_subtrees_of_different_depth_become_one(spark):
+    """Tries that burst at different places: a route is a leaf here and an inner node there, and terms end at both."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows, want = [], Counter()
+    for size in (3, 90, 2500):
+        trie = BurstTrie()
+        for _ in range(size):
+            term = "x" + word(rng.randrange(0, 14))
+            trie.add(term, 3, 1)
+            want[term] += 1
+        rows += [("f", route, ends, list(leaf) if leaf else None, [c[0] for c in leaf.values()] if leaf else None, [c[1] for c in leaf.values()] if leaf else None) for route, ends, leaf in trie.subtrees()]
+    df = spark.createDataFrame(rows, terms._COLUMNS)
+    got = terms.merged_subtrees(df).collect()
+    assert len(got) == len(want) and {r.term: r.records for r in got} == want and all(r.occurrences == 3 * r.records for r in got)
+    leaves = {r[1] for r in rows if r[3] and not r[2]}
+    assert leaves & {r[1] for r in rows if r[3] is None}
+
+
 def test_marked_terms(spark):
     rows = [("f", k, ["all", "all", None] + [f"t{k % 150}"] * (k % 150 < 100)) for k in range(300)] + [("f", 1, ["all"]), ("f", 900, None), ("f", 901, [None]), ("f", 902, []), ("f", 903, [""]), (None, 1, ["x"]), ("f", None, ["x"]), ("g", 1, ["é"])]
     df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "field string, id bigint, terms array<string>, records int, term string")
@@ -443,16 +496,36 @@ def test_marginals_equal_enumeration():
     batch = Batch(found, words)
     weights = np.random.default_rng(1).normal(size=1 << 18)
     emit = weights[batch.features].sum(1)
-    got = batch.marginals(weights, STEPS)
+    moved, share = np.zeros((2, 2)), np.array([1.0, 0.5, 2.0])
+    got = batch.marginals(weights, STEPS, moved, share)
+    want = np.zeros((2, 2))
     for s, n in enumerate(batch.sizes):
         e = emit[batch.begin[s] : batch.begin[s] + n]
-        total, tagged = 0.0, np.zeros(n)
+        total, tagged, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
         for mask in range(1 << n):
             y = [(mask >> k) & 1 for k in range(n)]
             p = np.exp(sum(e[k] for k in range(n) if y[k]) + sum(STEPS[y[k - 1], y[k]] for k in range(1, n)))
             total += p
             tagged += p * np.array(y)
+            for k in range(1, n):
+                pairs[y[k - 1], y[k]] += p
+        want += pairs / total * share[s]
         assert np.allclose(got[batch.begin[s] : batch.begin[s] + n], tagged / total)
+    assert np.allclose(moved, want)
+
+
+def test_long_sentences_are_one_chain():
+    words = Words()
+    found = [ids for ids, _ in sentences("word " * 3000 + "\nshort one", words)]
+    assert [len(f) for f in found] == [3000, 2]
+    weights = np.random.default_rng(1).normal(size=1 << 18)
+    both, alone = Batch(found, words), Batch(found[1:], words)
+    assert np.allclose(both.marginals(weights, STEPS)[3000:], alone.marginals(weights, STEPS))
+
+
+def test_kinds_of_one_spelling_are_kept_apart():
+    words = Words()
+    assert words("abcd", "word") != words("abcd", "code") and words("abcd", "word") == words("abcd", "word")
 
 
 def test_harmless_text_after_an_insult_does_not_dilute_it(spark):
@@ -465,7 +538,7 @@ def test_harmless_text_after_an_insult_does_not_dilute_it(spark):
     text = f"{rest} {insult} {rest} {insult} {rest}"
     batch = Batch([ids for ids, _ in sentences(text, words)], words)
     assert batch.sentence_scores(batch.marginals(weights, STEPS)).max() < THRESHOLD
-    got = score_documents(spark.createDataFrame([(1, text), (2, rest), (3, "fine")], "id bigint, text string"), "id", "text", weights).orderBy("id").collect()
+    got = score_documents(spark.createDataFrame([(1, text), (2, rest), (3, "fine")], "id bigint, text string"), "id", "text", np.append(weights, STEPS)).orderBy("id").collect()
     assert got[0].score >= THRESHOLD > max(got[1].score, got[2].score)
     assert [text[x.start : x.end] for x in got[0].spans] == [insult] * 2
 
