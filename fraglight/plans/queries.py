@@ -552,6 +552,12 @@ _LOCATE = _ONE + """,
     spots AS (SELECT file_id, no, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, strlen(line) AS n FROM split),
     rows_ AS (SELECT file_id, no, s, s + n AS e FROM spots)
 """
+_PLACES = _LOCATE + """,
+    pieces AS (SELECT file_id, snippet_id, deps, file_text, n, string_split(h, w) AS xs FROM (SELECT h.*, t.h, x.w FROM hits h JOIN tight t USING (file_id) JOIN wanted x USING (snippet_id))),
+    every AS (SELECT file_id, snippet_id, deps, file_text, n, k - 1 AS match_no, list_sum(list_transform(xs[1:k], lambda x: length(x)))::BIGINT + (k - 1) * n + 1 AS spot
+              FROM (SELECT *, unnest(range(1, least(len(xs), 10))) AS k FROM pieces)),
+    places AS MATERIALIZED (SELECT file_id, snippet_id, deps, match_no, strlen(file_text[1:kept[spot] - 1]) AS s2, strlen(file_text[1:kept[spot + n - 1]]) AS e2 FROM every JOIN texts USING (file_id))
+"""
 _PICK = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _SLOTS = _LOCATE + """,
     ranked AS (SELECT file_id, no, s, e, row_number() OVER (PARTITION BY file_id ORDER BY """ + _PICK.format("file_id || '|' || no") + """, no) - 1 AS n,
@@ -561,6 +567,26 @@ _SLOTS = _LOCATE + """,
 _FALSE = " AND ".join(f"NOT contains(text, '{w}')" for w in tx.FALSE_POSITIVES)
 _BUCKETS = "CASE WHEN s.kind IS NULL THEN [''] ELSE coalesce(b.buckets, [s.kind]) END"
 
+_ANSWERS = r"""
+    WITH one AS (SELECT output_id, any_value(body) AS b FROM llm_outputs WHERE output_id IS NOT NULL AND body IS NOT NULL GROUP BY output_id),
+    bare AS (SELECT output_id, trim(regexp_replace(regexp_replace(b, '^\s*```[A-Za-z0-9_-]*', ''), '```\s*$', ''), chr(65279) || chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM one),
+    whole AS (SELECT output_id, t::JSON AS j FROM bare WHERE t <> '' AND json_valid(t)),
+    member AS (SELECT output_id, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(j, '$."' || k || '"') AS v
+               FROM (SELECT output_id, j, unnest(json_keys(j)) AS k FROM whole WHERE json_type(j) = 'OBJECT')),
+    inner_member AS (SELECT output_id, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(v, '$."' || k || '"') AS v
+               FROM (SELECT output_id, v, unnest(json_keys(v)) AS k FROM member WHERE json_type(v) = 'OBJECT'
+                     AND output_id NOT IN (SELECT output_id FROM member WHERE name IN ('introstructures', 'fragments')))),
+    listed AS (SELECT output_id, name, CASE json_type(v) WHEN 'ARRAY' THEN v ELSE json_array(v) END AS v
+               FROM (FROM member UNION ALL FROM inner_member) WHERE name IN ('introstructures', 'fragments') AND json_type(v) <> 'NULL'),
+    item AS (SELECT output_id, name, n, json_extract(v, n) AS x FROM (SELECT output_id, name, v, unnest(range(json_array_length(v)::BIGINT)) AS n FROM listed)),
+    kept AS (SELECT * FROM item WHERE json_type(x) <> 'NULL'),
+    part AS (SELECT output_id, n AS frag_no, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(x, '$."' || k || '"') AS v
+             FROM (SELECT output_id, n, x, unnest(json_keys(x)) AS k FROM kept WHERE name = 'fragments' AND json_type(x) = 'OBJECT')),
+    parts AS (SELECT output_id, frag_no, name, CASE json_type(v) WHEN 'ARRAY' THEN v ELSE json_array(v) END AS v
+              FROM part WHERE name IN ('dependencies', 'placeholders') AND json_type(v) <> 'NULL'),
+    nested AS (SELECT output_id, frag_no, name, n, json_extract(v, n) AS x FROM (SELECT output_id, frag_no, name, v, unnest(range(json_array_length(v)::BIGINT)) AS n FROM parts))
+"""
+
 SQL: dict[str, str] = {
     "ice_parse": _ICE + "SELECT run_id, location, reason FROM ices",
     "ice_compiler": _ICE + "SELECT DISTINCT run_id, location, reason FROM inside",
@@ -667,26 +693,24 @@ SQL: dict[str, str] = {
             ELSE '[' || iter || '] mutants=' || mutants || ' ices=' || coalesce(ice_files, 0) || ' cumulative_locations=' || coalesce(cumulative, 0) || chr(10) ||
                  coalesce(array_to_string(list_transform(list_filter(places, lambda x: x IS NOT NULL), lambda x: 'NEW_LOCATION: ' || x || chr(10)), ''), '') END AS block FROM one""",
     "stream_dedup": "SELECT DISTINCT campaign_id, location FROM (SELECT campaign_id, unnest(new_locations) AS location FROM iterations) WHERE location IS NOT NULL",
-    "p5_found": r"""
-    WITH one AS (SELECT output_id, any_value(body) AS b FROM llm_outputs WHERE output_id IS NOT NULL AND body IS NOT NULL GROUP BY output_id),
-    bare AS (SELECT output_id, trim(regexp_replace(regexp_replace(b, '^\s*```[A-Za-z0-9_-]*', ''), '```\s*$', ''), chr(65279) || chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM one),
-    whole AS (SELECT output_id, t::JSON AS j FROM bare WHERE t <> '' AND json_valid(t)),
-    member AS (SELECT output_id, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(j, '$."' || k || '"') AS v
-               FROM (SELECT output_id, j, unnest(json_keys(j)) AS k FROM whole WHERE json_type(j) = 'OBJECT')),
-    inner_member AS (SELECT output_id, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(v, '$."' || k || '"') AS v
-               FROM (SELECT output_id, v, unnest(json_keys(v)) AS k FROM member WHERE json_type(v) = 'OBJECT'
-                     AND output_id NOT IN (SELECT output_id FROM member WHERE name IN ('introstructures', 'fragments')))),
-    listed AS (SELECT output_id, name, CASE json_type(v) WHEN 'ARRAY' THEN v ELSE json_array(v) END AS v
-               FROM (FROM member UNION ALL FROM inner_member) WHERE name IN ('introstructures', 'fragments') AND json_type(v) <> 'NULL'),
-    item AS (SELECT output_id, name, n, json_extract(v, n) AS x FROM (SELECT output_id, name, v, unnest(range(json_array_length(v)::BIGINT)) AS n FROM listed)),
-    kept AS (SELECT * FROM item WHERE json_type(x) <> 'NULL'),
-    part AS (SELECT output_id, n AS frag_no, lower(regexp_replace(k, '[-_ ]', '', 'g')) AS name, json_extract(x, '$."' || k || '"') AS v
-             FROM (SELECT output_id, n, x, unnest(json_keys(x)) AS k FROM kept WHERE name = 'fragments' AND json_type(x) = 'OBJECT')),
-    parts AS (SELECT output_id, frag_no, name, CASE json_type(v) WHEN 'ARRAY' THEN v ELSE json_array(v) END AS v
-              FROM part WHERE name IN ('dependencies', 'placeholders') AND json_type(v) <> 'NULL'),
-    nested AS (SELECT output_id, frag_no, name, n, json_extract(v, n) AS x FROM (SELECT output_id, frag_no, name, v, unnest(range(json_array_length(v)::BIGINT)) AS n FROM parts))
+    "p5_found": _ANSWERS + r"""
     SELECT output_id, CASE name WHEN 'fragments' THEN 'fragment' ELSE 'intro' END AS child, CASE name WHEN 'fragments' THEN n ELSE -1 END AS frag_no,
            CASE name WHEN 'fragments' THEN -1 ELSE n END AS item_no FROM kept
     UNION ALL
     SELECT output_id, CASE name WHEN 'dependencies' THEN 'dependency' ELSE 'placeholder' END, frag_no, n FROM nested WHERE json_type(x) <> 'NULL'""",
+    "p5_children": _ANSWERS + r"""
+    SELECT output_id, CASE name WHEN 'fragments' THEN 'fragment' ELSE 'intro' END AS child, CASE name WHEN 'fragments' THEN n ELSE -1 END AS frag_no, CASE name WHEN 'fragments' THEN -1 ELSE n END AS item_no,
+           CASE WHEN json_type(x) <> 'OBJECT' THEN x ->> '$' WHEN name = 'fragments' THEN x ->> '$.fragment' END AS text,
+           CASE WHEN name = 'fragments' AND json_type(x) = 'OBJECT' THEN (SELECT any_value(v ->> '$') FROM part p WHERE p.output_id = kept.output_id AND p.frag_no = kept.n AND p.name = 'nodekind') END AS node_kind FROM kept
+    UNION ALL
+    SELECT output_id, CASE name WHEN 'dependencies' THEN 'dependency' ELSE 'placeholder' END, frag_no, n,
+           CASE WHEN json_type(x) <> 'OBJECT' THEN x ->> '$' WHEN name = 'dependencies' THEN x ->> '$.dependency' ELSE x ->> '$.placeholder' END,
+           CASE WHEN name = 'placeholders' AND json_type(x) = 'OBJECT' THEN coalesce(x ->> '$.node_kind', x ->> '$."node-kind"', x ->> '$.nodeKind') END FROM nested WHERE json_type(x) <> 'NULL'""",
+    "fragment_locate_all": _PLACES + "SELECT file_id, snippet_id, s2 AS s, e2 AS e, match_no FROM places",
+    "span_overlap_join": _PLACES + """, met AS (SELECT DISTINCT file_id, no, snippet_id, deps FROM rows_ JOIN places USING (file_id) WHERE s < e AND s < e2 AND s2 < e),
+        named AS (SELECT DISTINCT file_id, no, unnest(deps) AS dep FROM met),
+        d AS (SELECT file_id, no, count(dep) AS n FROM named GROUP BY ALL)
+        SELECT m.file_id, m.no, count(DISTINCT snippet_id) AS fragments, coalesce(any_value(d.n), 0) AS dependencies FROM met m LEFT JOIN d USING (file_id, no) GROUP BY m.file_id, m.no""",
+    "multi_splice": _SLOTS + """SELECT file_id, string_agg(CASE WHEN slots.no IS NULL THEN line ELSE '()' END, chr(10) ORDER BY split.no) AS text
+        FROM split LEFT JOIN slots USING (file_id, no) WHERE file_id IN (SELECT file_id FROM slots) GROUP BY file_id""",
 }
