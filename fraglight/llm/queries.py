@@ -177,7 +177,46 @@ _TERMS = """
                 FROM every JOIN total USING (field) GROUP BY field, term)
 """
 
+_WINDOWS = """
+    WITH RECURSIVE records AS (
+        SELECT 'snippet' AS record_kind, snippet_id AS record_id, 2 * snippet_id AS rec, any_value(fragment) AS t FROM snippets WHERE fragment IS NOT NULL GROUP BY snippet_id
+        UNION ALL SELECT 'file', file_id, 2 * file_id + 1, any_value(file_text) FROM mutant_files WHERE file_text IS NOT NULL GROUP BY file_id),
+    windows AS MATERIALIZED (SELECT rec, i, t[i + 1:i + 160] AS x FROM (SELECT rec, t, unnest(range(0, length(t) - 159)) AS i FROM records WHERE length(t) >= 160)),
+    held AS MATERIALIZED (SELECT x, min(rec) AS hub FROM windows GROUP BY x HAVING min(rec) <> max(rec)),
+    hits AS MATERIALIZED (SELECT rec, i, hub FROM windows JOIN held USING (x)),
+    steps AS (SELECT rec, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rec ORDER BY i) + 160 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT rec, i FROM hits)),
+    runs AS (SELECT rec, i, sum(new) OVER (PARTITION BY rec ORDER BY i) AS run FROM steps),
+    spans AS (SELECT rec, min(i) AS s, max(i) + 160 AS e FROM runs GROUP BY rec, run)
+"""
+
+_SIMILAR = """
+    WITH RECURSIVE raw AS (
+        SELECT 'annotated_fragment' AS record_kind, fragment_id AS id, lower(regexp_replace(any_value(fragment), '[^\\p{L}\\p{N}]+', '', 'g')) AS t FROM annotated_fragments GROUP BY fragment_id
+        UNION ALL SELECT 'snippet', snippet_id, lower(regexp_replace(any_value(fragment), '[^\\p{L}\\p{N}]+', '', 'g')) FROM snippets GROUP BY snippet_id),
+    texts AS (SELECT record_kind, t, min(id) AS id FROM raw WHERE length(t) >= 100 GROUP BY record_kind, t),
+    grams AS MATERIALIZED (SELECT DISTINCT record_kind, id, t[i:i + 4] AS g FROM (SELECT *, unnest(range(1, length(t) - 3)) AS i FROM texts)),
+    sizes AS MATERIALIZED (SELECT record_kind, id, count(*) AS n FROM grams GROUP BY ALL),
+    links AS MATERIALIZED (SELECT m.record_kind, x, y FROM (SELECT a.record_kind, a.id AS x, b.id AS y, count(*) AS c FROM grams a JOIN grams b ON a.record_kind = b.record_kind AND a.g = b.g AND a.id <> b.id GROUP BY ALL) m
+        JOIN sizes p ON p.record_kind = m.record_kind AND p.id = x JOIN sizes q ON q.record_kind = m.record_kind AND q.id = y WHERE c >= 0.7 * (p.n + q.n - c)),
+    reach AS (SELECT record_kind, id AS x, id AS y FROM texts UNION SELECT r.record_kind, r.x, l.y FROM reach r JOIN links l ON l.record_kind = r.record_kind AND l.x = r.y),
+    roots AS (SELECT record_kind, x, min(y) AS root FROM reach GROUP BY ALL)
+    SELECT raw.record_kind, root AS first_id, raw.id AS other_id FROM raw JOIN texts USING (record_kind, t) JOIN roots ON roots.record_kind = raw.record_kind AND roots.x = texts.id WHERE raw.id <> root
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _WINDOWS + "SELECT record_kind, record_id, s AS span_start, e AS span_end FROM spans JOIN records USING (rec)",
+    "p1_clusters": _WINDOWS + """, pairs AS MATERIALIZED (SELECT DISTINCT rec AS a, hub AS b FROM hits WHERE rec <> hub),
+    both_ways AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    reach AS (SELECT DISTINCT a AS x, a AS y FROM both_ways UNION SELECT r.x, p.b FROM reach r JOIN both_ways p ON p.a = r.y),
+    roots AS (SELECT x AS rec, min(y) AS root FROM reach GROUP BY x),
+    sums AS (SELECT rec, sum(e - s)::BIGINT AS n FROM spans GROUP BY rec)
+    SELECT r.record_kind, r.record_id, f.record_kind AS first_kind, f.record_id AS first_id, n AS shared_chars
+    FROM sums JOIN roots USING (rec) JOIN records r USING (rec) JOIN records f ON f.rec = root""",
+    "p3_found": _SIMILAR,
+    "p4_clusters": _PLACES + """, l AS (SELECT DISTINCT campaign_id, file, line FROM places WHERE file <> '' AND line IS NOT NULL AND campaign_id IS NOT NULL AND iter IS NOT NULL),
+        steps AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY campaign_id, file ORDER BY line) <= 3 THEN 0 ELSE 1 END AS new FROM l),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY campaign_id, file ORDER BY line) AS run FROM steps)
+        SELECT campaign_id || ' ' || file || ' ' || lpad(min(line)::VARCHAR, 12, '0') AS representative, count(*) AS lines FROM runs GROUP BY campaign_id, file, run""",
     "p2_found": _KEYS + "SELECT first_id, fragment_id AS copy_id FROM keyed JOIN grouped USING (body, parts) WHERE fragment_id <> first_id",
     "p2_counts": _KEYS + "SELECT first_id, copies FROM grouped",
     "p4_found": _PLACES + """SELECT DISTINCT x.campaign_id, x.iter, x.pos FROM places x JOIN places y
