@@ -713,4 +713,38 @@ SQL: dict[str, str] = {
         SELECT m.file_id, m.no, count(DISTINCT snippet_id) AS fragments, coalesce(any_value(d.n), 0) AS dependencies FROM met m LEFT JOIN d USING (file_id, no) GROUP BY m.file_id, m.no""",
     "multi_splice": _SLOTS + """SELECT file_id, string_agg(CASE WHEN slots.no IS NULL THEN line ELSE '()' END, chr(10) ORDER BY split.no) AS text
         FROM split LEFT JOIN slots USING (file_id, no) WHERE file_id IN (SELECT file_id FROM slots) GROUP BY file_id""",
+    "p6_found": r"""
+    WITH o AS (SELECT run_id, any_value(stderr) AS t, year(any_value(timestamp_utc)) AS y FROM outcomes WHERE run_id IS NOT NULL AND stderr <> '' GROUP BY run_id),
+    l AS (SELECT run_id, y, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no FROM o),
+    c AS (SELECT run_id, y, line_no, regexp_replace(raw, '\r$', '') AS x FROM l),
+    h AS (SELECT *, coalesce(regexp_matches(lag(x) OVER (PARTITION BY run_id ORDER BY line_no), '^\S.*:\d+:$'), false) AS told FROM c),
+    x AS (SELECT * FROM h WHERE regexp_matches(x, '^\S') AND NOT regexp_matches(x, '^\d+ *\|') AND NOT told),
+    f AS (SELECT run_id, line_no, y, x, CASE
+        WHEN regexp_matches(x, '^thread ''.*?''(?: \(\d+\))? panicked at .*?:(\s|$)') THEN ['panic', regexp_extract(x, ' panicked at (.*?):(?:\s|$)', 1), '']
+        WHEN regexp_matches(x, '^error: internal compiler error: .*?:(\s|$)') THEN ['error', regexp_extract(x, '^error: internal compiler error: (.*?):(?:\s|$)', 1), '']
+        WHEN regexp_matches(x, '^note: delayed at \S*:\d+') THEN ['note', regexp_extract(x, '^note: delayed at (\S*:\d+)', 1), '']
+        WHEN regexp_matches(x, '^memory allocation of \d+ bytes failed') THEN ['error', 'rustc', '']
+        WHEN regexp_matches(x, '^\{"timestamp": ') THEN [regexp_extract(x, '"level": "(\w+)"', 1), regexp_extract(x, '"target": "([^"]+)"', 1), regexp_extract(x, '"timestamp": "([^"]+)"', 1)]
+        WHEN regexp_matches(x, '^ts=') THEN [regexp_extract(x, ' level=(\w+)', 1), regexp_extract(x, ' target=(\S+)', 1), regexp_extract(x, '^ts=(\S+)', 1)]
+        WHEN regexp_matches(x, '^\[[\d-]+ [\d:.,]+\] \[[\w.-]+\] \[\w+\]') THEN [regexp_extract(x, '^\[([\d-]+ [\d:.,]+)\] \[([\w.-]+)\] \[(\w+)\]', 3), regexp_extract(x, '^\[([\d-]+ [\d:.,]+)\] \[([\w.-]+)\] \[(\w+)\]', 2), regexp_extract(x, '^\[([\d-]+ [\d:.,]+)\] \[([\w.-]+)\] \[(\w+)\]', 1)]
+        WHEN regexp_matches(x, '^\[[\dT:.+Z-]+\s+\w+\s+[\w:]+\]') THEN [regexp_extract(x, '^\[([\dT:.+Z-]+)\s+(\w+)\s+([\w:]+)\]', 2), regexp_extract(x, '^\[([\dT:.+Z-]+)\s+(\w+)\s+([\w:]+)\]', 3), regexp_extract(x, '^\[([\dT:.+Z-]+)\s+(\w+)\s+([\w:]+)\]', 1)]
+        WHEN regexp_matches(x, '^\d{4}-[\dT:.+Z-]+\s+\w+\s+\w+(::\w+)+:') THEN [regexp_extract(x, '^(\d{4}-[\dT:.+Z-]+)\s+(\w+)\s+(\w+(?:::\w+)+):', 2), regexp_extract(x, '^(\d{4}-[\dT:.+Z-]+)\s+(\w+)\s+(\w+(?:::\w+)+):', 3), regexp_extract(x, '^(\d{4}-[\dT:.+Z-]+)\s+(\w+)\s+(\w+(?:::\w+)+):', 1)]
+        WHEN regexp_matches(x, '^\d{4}-\d\d-\d\d [\d:.,+-]+ \[\w+\] \S+ - ') THEN [regexp_extract(x, '^(\d{4}-\d\d-\d\d [\d:.,+-]+) \[(\w+)\] (\S+) - ', 2), regexp_extract(x, '^(\d{4}-\d\d-\d\d [\d:.,+-]+) \[(\w+)\] (\S+) - ', 3), regexp_extract(x, '^(\d{4}-\d\d-\d\d [\d:.,+-]+) \[(\w+)\] (\S+) - ', 1)]
+        WHEN regexp_matches(x, '^(\d{13}|\d{10}) \w \w+(::\w+)+:') THEN [regexp_extract(x, '^(\d{13}|\d{10}) (\w) (\w+(?:::\w+)+):', 2), regexp_extract(x, '^(\d{13}|\d{10}) (\w) (\w+(?:::\w+)+):', 3), regexp_extract(x, '^(\d{13}|\d{10}) (\w) (\w+(?:::\w+)+):', 1)]
+        WHEN regexp_matches(x, '^[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d \S+ [\w.-]+\[\d+\]: \w+:') THEN [regexp_extract(x, '^([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) \S+ ([\w.-]+)\[\d+\]: (\w+):', 3), regexp_extract(x, '^([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) \S+ ([\w.-]+)\[\d+\]: (\w+):', 2), regexp_extract(x, '^([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) \S+ ([\w.-]+)\[\d+\]: (\w+):', 1)]
+        WHEN regexp_matches(x, '^[A-Z]\d{4} \d\d:\d\d:\d\d\S* +\d+ [\w.-]+:\d+\]') THEN [regexp_extract(x, '^([A-Z])(\d{4} \d\d:\d\d:\d\d)\S* +\d+ ([\w.-]+):\d+\]', 1), regexp_extract(x, '^([A-Z])(\d{4} \d\d:\d\d:\d\d)\S* +\d+ ([\w.-]+):\d+\]', 3), regexp_extract(x, '^([A-Z])(\d{4} \d\d:\d\d:\d\d)\S* +\d+ ([\w.-]+):\d+\]', 2)]
+        WHEN regexp_matches(x, '^[A-Z]+ \w+(::\w+)+ ') THEN [regexp_extract(x, '^([A-Z]+) ', 1), regexp_extract(x, '^[A-Z]+ (\w+(?:::\w+)+) ', 1), '']
+        WHEN regexp_matches(x, '^LLVM ERROR: ') THEN ['error', 'LLVM', '']
+        WHEN regexp_matches(x, '^\w+(\[\w+\])?: ') THEN [regexp_extract(x, '^(\w+)', 1), 'rustc', ''] END AS v FROM x),
+    m(word, level) AS (VALUES ('panic', 'panic'), ('error', 'error'), ('err', 'error'), ('e', 'error'), ('fatal', 'error'), ('f', 'error'), ('warn', 'warn'), ('warning', 'warn'), ('w', 'warn'),
+        ('note', 'note'), ('n', 'note'), ('info', 'info'), ('i', 'info'), ('debug', 'debug'), ('dbg', 'debug'), ('d', 'debug'), ('trace', 'trace'), ('trc', 'trace'), ('t', 'trace')),
+    p AS (SELECT run_id, line_no, level, v[2] AS component, y, regexp_replace(v[3], '[.,]\d+', '') AS at_ FROM f JOIN m ON lower(v[1]) = word WHERE v[2] <> '')
+    SELECT run_id, line_no, level, component, coalesce(strftime(CASE
+        WHEN regexp_matches(at_, '^\d{13}$') THEN make_timestamp(at_::BIGINT // 1000 * 1000000)
+        WHEN regexp_matches(at_, '^\d{10}$') THEN make_timestamp(at_::BIGINT * 1000000)
+        WHEN regexp_matches(at_, '^\d{4} ') THEN try_strptime(y || at_, '%Y%m%d %H:%M:%S')
+        WHEN regexp_matches(at_, '^[A-Z][a-z]') THEN try_strptime(y || ' ' || regexp_replace(at_, ' +', ' ', 'g'), '%Y %b %d %H:%M:%S')
+        WHEN at_ <> '' THEN try_cast(replace(at_[1:19], 'T', ' ') AS TIMESTAMP)
+            - CASE WHEN regexp_matches(at_, '[+-]\d\d:?\d\d$') THEN to_minutes((regexp_extract(at_, '([+-])\d\d:?\d\d$', 1) || '1')::BIGINT * (regexp_extract(at_, '(\d\d):?\d\d$', 1)::BIGINT * 60 + regexp_extract(at_, '(\d\d)$', 1)::BIGINT)) ELSE to_minutes(0) END
+        END, '%Y-%m-%d %H:%M:%S'), '') AS logged_at FROM p""",
 }
