@@ -5,10 +5,11 @@ of the set make 20 bands of 4. Texts of a band bucket are candidates. Candidates
 low bits of 64 minima) and then of the exact Jaccard similarity, and the links are grouped by connected components.
 
 No bucket is expanded into all pairs. First each member is compared with the least and the greatest member of its bucket.
-Once components are known, buckets of one component need no more. In those of several, small ones compare members of
-different components; the texts of large ones, which mostly share some common passage, are joined by their rare
-substrings instead: of two sets with a similarity of t the rarest (1 - t) of the larger and (1 - t) / (1 + t) of the smaller
-have one in common. That loses no link, and texts whose common part is below the threshold meet no more.
+Once components are known, buckets of one component need no more. Members of large buckets with several meet some more
+members, drawn by hash, which brings most of a component together. In buckets that still have several components, small
+ones compare members of different components; the texts of large ones, which mostly share some common passage, are joined
+by their rare substrings instead: of two sets with a similarity of t the rarest (1 - t) of the larger and (1 - t) / (1 + t)
+of the smaller have one in common. That loses no link, and texts whose common part is below the threshold meet no more.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BANDS, ROWS, CHARACTERS = 20, 4, 5
 SIGMAS = 4.0
 #: Members of a bucket up to which those of different components are compared with each other.
 SMALL = 32
+#: Times that members of larger ones meet a member drawn by hash.
+ROUNDS = 2
 
 
 def formatting_off(column: str) -> F.Column:
@@ -151,9 +154,20 @@ def rare_pairs(texts: DataFrame, threshold: float, n: int) -> DataFrame:
     listed = shingles.join(known, "h").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
     rare = listed.select("node", "root", "size", F.posexplode(F.slice("order", F.lit(1), first(threshold).cast("int"))).alias("pos", "x"))
     rare = staged(rare.filter("x.df > 1").select("node", "root", "size", F.col("x.h").alias("h"), (F.col("pos") < first(2 * threshold / (1 + threshold))).alias("held")), "rare")
-    small = rare.filter("held").select("h", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"))
-    met = rare.join(small, "h").filter("node <> y and root <> y_root and y_size <= size").filter(F.col("y_size") >= F.col("size") * threshold - 1e-9)
-    return met.select(*_pair("node", "y")).distinct()
+    # pairs within a root are of no use: those outside a substring's commonest root meet the others
+    by_root = rare.groupBy("h", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    strays = rare.join(mixed.select("h", "main"), "h").filter("root <> main").select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "held")))
+    near = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(y) >= F.col(x) * threshold - 1e-9)
+    met = rare.join(strays, "h").filter("root <> x_root").filter((near("size", "x_size") & F.col("x_held")) | (near("x_size", "size") & F.col("held")))
+    return met.select(*_pair("node", "x_node")).distinct()
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n, root) of the buckets whose members are of several components."""
+    named = shared.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    return staged(named.join(several, "key"), "mixed")
 
 
 def near_duplicate_groups(
@@ -180,13 +194,25 @@ def near_duplicate_groups(
     links = staged(_verified(compared, signed, threshold, n), "links")
     roots = staged(components(links), "roots")
 
-    named = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    mixed = staged(named.join(mixed, "key"), "mixed")
+    mixed = _mixed(shared, roots)
+    for n_round in range(ROUNDS):
+        # members of large buckets meet another one, drawn by hash, which mostly brings together what is left of a component
+        large = mixed.filter(F.col("n") > SMALL).withColumn("h", F.xxhash64("node", F.lit(n_round)))
+        if large.isEmpty():
+            break
+        drawn = large.join(large.groupBy("key").agg(F.min("h").alias("h")), ["key", "h"]).select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+        to_hub = large.join(drawn, "key").filter("root <> hub_root").select(*_pair("node", "hub")).distinct().join(compared, ["a", "b"], "left_anti")
+        compared, last = staged(compared.union(fresh := staged(to_hub, "fresh")), "compared"), compared
+        links, before = staged(links.unionAll(_verified(fresh, signed, threshold, n)), "links"), links
+        for done in (last, before, fresh, mixed, roots):
+            discard(done)
+        roots = staged(components(links), "roots")
+        mixed = _mixed(shared, roots)
+
     few = mixed.filter(F.col("n") <= SMALL)
     other = few.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"))
     rest = few.join(other, "key").filter("node < y and root <> y_root").select(*_pair("node", "y"))
-    crowded = signed.join(mixed.filter(F.col("n") > SMALL).select("node", "root").distinct(), "node")
+    crowded = signed.select("node", "text").join(mixed.filter(F.col("n") > SMALL).select("node", "root").distinct(), "node")
     rest = rest.union(rare_pairs(crowded, threshold, n)).distinct().join(compared, ["a", "b"], "left_anti")
     more = staged(_verified(staged(rest, "rest"), signed, threshold, n), "links")
     roots = components(links.unionAll(more))
