@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglight.llm.tokens import TOKENIZERS, vocabulary
+from fraglight.llm.tokens import TOKENIZERS, send, vocabulary
 from fraglight.sources.tables import staged
 
 #: Numbers of the classifier at most, features of a domain at most, and steps of the descent.
@@ -103,6 +103,7 @@ def mixed(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS
     named = named.join(numbered, "source").select("doc_id", "domain", "text")
     given = spark.sparkContext.broadcast(_fit(named.select("domain", "text"), len(names)))  # at most MODEL numbers
     path = f"{tokenizers}/byte_bpe_50k.tiktoken"
+    send(spark, path)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)

@@ -10,11 +10,13 @@ pair, in time linear in the piece.
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the public vocabularies lie; every function takes another place.
 TOKENIZERS = "/opt/tokenizers"
@@ -148,15 +150,23 @@ class Vocabulary:
 
 
 _loaded: dict[str, Vocabulary] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """Loaded once in each worker."""
+    """Loaded once in each worker, from the path or, where it isn't there, from what the driver sent."""
     if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
+        _loaded[path] = Vocabulary(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _loaded[path]
 
 
+def send(spark: SparkSession, path: str) -> None:
+    """Lets executors without the file have the driver's."""
+    if os.path.exists(path) and (spark.sparkContext.applicationId, path) not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add((spark.sparkContext.applicationId, path))
+
+
 def encode_column(
     df: DataFrame,
     key: str,
@@ -169,6 +179,7 @@ def encode_column(
     0. Strings that look like special tokens are ordinary text. A null key stays null; other columns are not carried, so
     none can clash. The rows keep their partitions: no shuffle."""
     path = f"{tokenizers}/{name}.tiktoken"
+    send(df.sparkSession, path)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +208,7 @@ def encode_column(
 def decode_column(df: DataFrame, key: str, ids: str, name: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS) -> DataFrame:
     """(key, text): the texts that the ids stand for. A null or empty list gives the empty text."""
     path = f"{tokenizers}/{name}.tiktoken"
+    send(df.sparkSession, path)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
