@@ -82,6 +82,10 @@ def _hash(*parts: str) -> int:
     return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass"))
 
 
+def is_identifier(token: str, kind: str) -> bool:
+    return kind == "code" or (kind == "word" and ("_" in token or _CAMEL.search(token) is not None))
+
+
 class Words:
     """Features of tokens by their spelling, remembered up to a bound."""
 
@@ -94,11 +98,13 @@ class Words:
         self.klass: list[int] = []
 
     def __call__(self, token: str, kind: str) -> int:
+        if is_identifier(token, kind):  # all alike: their words follow
+            token, kind = "<id>", ""
         k = self.of.get((token, kind))
         if k is None:
             k = self.of[token, kind] = len(self.hash)
-            if kind == "code" or (kind == "word" and ("_" in token or _CAMEL.search(token))):
-                word = "<id>"
+            if kind == "":
+                word = token
             elif token.isdigit():
                 word = "<num>"
             else:
@@ -139,12 +145,12 @@ def sentences(text: str, words: Words) -> Iterator[tuple[list[int], list[tuple[i
         spans: list[tuple[int, int]] = []
         for x in _TOKEN.finditer(text, at, stop):
             kind, token = x.lastgroup, x.group()
-            found = [(words(token, kind), x.span())]
-            if kind == "code" or (kind == "word" and ("_" in token or _CAMEL.search(token))):  # <id>, then its words
-                found += [(words(w, "word"), span) for w, span in identifier_words(token, x.start())]
-            for k, span in found:
-                ids.append(k)
-                spans.append(span)
+            ids.append(words(token, kind))
+            spans.append(x.span())
+            if is_identifier(token, kind):  # <id>, then its words
+                for w, span in identifier_words(token, x.start()):
+                    ids.append(words(w, "word"))
+                    spans.append(span)
         if ids:
             yield ids, spans
         at = m.end() if m else stop
