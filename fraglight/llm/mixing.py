@@ -22,6 +22,8 @@ from fraglight.sources.tables import staged
 
 #: Numbers of the classifier at most, features of a domain at most, and steps of the descent.
 MODEL, FEATURES, STEPS = 1 << 23, 1 << 14, 14
+#: Sources up to which their numbers are broadcast.
+BROADCAST = 10_000
 #: Lengths along the gradient that a step tries; 0 stays.
 LENGTHS = np.array([0, 1, 0.5, 2, -0.5, 4, 0.25, 1.5, -1, 3, 0.75, 8, -2, 0.1, 16, 1.25, -4, 6, -8, 12])
 
@@ -99,6 +101,7 @@ def mixed(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS
         return spark.createDataFrame([], chosen_schema), spark.createDataFrame([], empty)
 
     numbered = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "source string, domain int")
+    numbered = F.broadcast(numbered) if len(names) <= BROADCAST else numbered  # a row for each source named
     named = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").filter("source is not null and doc_id is not null and text <> ''")
     named = named.join(numbered, "source").select("doc_id", "domain", "text")
     given = spark.sparkContext.broadcast(_fit(named.select("domain", "text"), len(names)))  # at most MODEL numbers
