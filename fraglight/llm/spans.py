@@ -188,8 +188,9 @@ def _compare(members: list, span: int) -> list[list[tuple[int, int, int]]]:
 
 
 def _partly_shared(contexts: DataFrame, span: int) -> DataFrame:
-    """contexts (band, c1, c2, r0, r1, place, windows, text, rivals) -> (band, c1, c2, low, windows, hub): runs of
-    shared windows, and a record that has them too."""
+    """contexts (band, c1, c2, r0, r1, place, windows, text, rivals) -> (band, c1, c2, r0, low, windows, hub): runs of
+    shared windows, and a record that has them too; of a context of several records, which are linked and shared as a whole,
+    one run for each such record."""
     few = contexts.filter(F.col("rivals") <= COMPARED).groupBy("band").agg(
         F.collect_list(F.struct("c1", "c2", "r0", "r1", "place", "windows", "text")).alias("members")
     )
@@ -199,12 +200,13 @@ def _partly_shared(contexts: DataFrame, span: int) -> DataFrame:
             rows = []
             for band, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for m, runs in zip(members, _compare(members, span)):
-                    rows += [(band, m["c1"], m["c2"], low, n, hub) for low, n, hub in set(runs)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    runs = set(runs) if m["r0"] == m["r1"] else {hub: (low, n, hub) for low, n, hub in runs}.values()
+                    rows += [(band, m["c1"], m["c2"], m["r0"], low, n, hub) for low, n, hub in runs]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             cols = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["band", "c1", "c2", "low", "windows", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["band", "c1", "c2", "r0", "low", "windows", "hub"])
 
-    compared = few.mapInArrow(compare, "band bigint, c1 bigint, c2 bigint, low int, windows int, hub bigint")
+    compared = few.mapInArrow(compare, "band bigint, c1 bigint, c2 bigint, r0 bigint, low int, windows int, hub bigint")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +225,8 @@ def _partly_shared(contexts: DataFrame, span: int) -> DataFrame:
     )
     shared = each.groupBy("h1", "h2").agg(F.min("r0").alias("x"), F.max("r1").alias("y")).filter("x <> y")
     hub = F.when(F.col("x") == F.col("r0"), F.col("y")).otherwise(F.col("x")).alias("hub")
-    looked_up = each.join(shared, ["h1", "h2"]).select("band", "c1", "c2", "low", F.lit(1).alias("windows"), hub)
-    return compared.unionAll(looked_up)
+    looked_up = each.join(shared, ["h1", "h2"]).groupBy("band", "c1", "c2", "r0", hub, F.when(F.expr("r0 = r1"), F.col("low"))).agg(F.min("low").alias("low"))
+    return compared.unionAll(looked_up.select("band", "c1", "c2", "r0", "low", F.lit(1).alias("windows"), "hub"))
 
 
 def _pieces(records: DataFrame, span: int) -> DataFrame:
@@ -239,22 +241,20 @@ def _shared_stretches(records: DataFrame, span: int, shingle: int, bands: int) -
     records = records.filter(F.length("text") >= span)
     found = staged(_find_stretches(records, span, shingle, bands), "stretches")
     contexts = found.groupBy("band", "c1", "c2").agg(F.min("rec").alias("r0"), F.max("rec").alias("r1"))
-    bands = contexts.groupBy("band").agg(F.min("r0").alias("x"), F.max("r1").alias("y"), F.count("*").alias("rivals"), F.max(F.expr("r0 = r1")).alias("any_lone"))
-    bands = bands.filter("x <> y")
-    live = staged(contexts.join(bands, "band").select("band", "c1", "c2", "r0", "r1", "rivals", "any_lone"), "contexts")
+    bands = contexts.groupBy("band").agg(F.min("r0").alias("x"), F.max("r1").alias("y"), F.count("*").alias("rivals"), F.max(F.expr("r0 = r1")).alias("any_lone"), F.max("r0").alias("z"))
+    bands = bands.filter("x <> y").withColumn("open", F.expr("any_lone or x <> z"))
+    live = staged(contexts.join(bands, "band").select("band", "c1", "c2", "r0", "r1", "rivals", "open"), "contexts")
     whole = found.join(live.filter("r0 <> r1").select("band", "c1", "c2", "r0"), ["band", "c1", "c2"])
     whole = whole.select("rec", F.col("begin").alias("s"), (F.col("begin") + F.col("windows") - 1 + span).alias("e"), F.col("r0").alias("hub"))
 
-    # Bands with a context that only one record has: compare it with the band's other contexts, one holder each.
-    open_ = live.filter("any_lone").select("band", "c1", "c2", "r0", "r1", "rivals")
+    # Bands with a context that only one record has, or with contexts that nothing links so far: compare them, one holder each.
+    open_ = live.filter("open").select("band", "c1", "c2", "r0", "r1", "rivals")
     holders = found.join(open_, ["band", "c1", "c2"]).filter("rec = r0").dropDuplicates(["band", "c1", "c2"])
     texts = holders.withColumn("piece", F.expr(f"begin div {PIECE}").cast("int")).join(_pieces(records, span), ["rec", "piece"]).select(
         "band", "c1", "c2", "r0", "r1", "rivals", "place", "windows", F.expr(f"substring(text, begin % {PIECE} + 1, windows - 1 + {span})").alias("text"),
     )
-    partly = _partly_shared(staged(texts, "open"), span)
-    lone = live.filter("any_lone and r0 = r1").select("band", "c1", "c2")
-    partly = staged(partly.join(lone, ["band", "c1", "c2"]), "partly")
-    ends = found.join(partly, ["band", "c1", "c2"]).select(
+    partly = staged(_partly_shared(staged(texts, "open"), span), "partly")
+    ends = found.join(partly, ["band", "c1", "c2"]).filter("rec = r0").select(
         "rec", (F.col("begin") + F.col("low")).alias("s"), (F.col("begin") + F.col("low") + partly["windows"] - 1 + span).alias("e"), "hub"
     )
     return whole.unionAll(ends)

@@ -113,6 +113,21 @@ def test_shared_spans_of_many_contexts(spark):
     assert sorted(map(tuple, shared_spans(df, span=16, shingle=6).select("rec", "s", "e").collect())) == sorted(brute_spans(records, 16))
 
 
+@pytest.mark.parametrize("compared", [spans.COMPARED, 0])
+def test_contexts_of_several_records_each_are_linked(spark, monkeypatch, compared):
+    monkeypatch.setattr(spans, "COMPARED", compared)
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passages = [some(26) for _ in range(20)]
+    # two copies of each of three texts that have one passage, little longer than a span, in common
+    texts = [some(40) + p + some(40) for p in passages for _ in range(3)]
+    records = {10 * i + k: t for i, t in enumerate(texts) for k in range(2)}
+    df = spark.createDataFrame(list(records.items()), "rec bigint, text string")
+    assert sorted(map(tuple, shared_spans(df, span=24, shingle=8).select("rec", "s", "e").collect())) == sorted(brute_spans(records, 24))
+    clusters = {r.rec: r.cluster for r in shared_clusters(df, span=24, shingle=8).collect()}
+    assert clusters == {k: k // 30 * 30 for k in records}
+
+
 def test_bands_have_the_recall_they_are_tuned_to():
     """Windows with a few characters replaced: the share of pairs that meet in a band, against the tuned one."""
     assert bands_for() == 1 and bands_for(0.99, 0.5) == 7 and bands_for(0.9, 0.5, rows=2) == 9
