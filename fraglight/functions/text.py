@@ -214,7 +214,7 @@ def located(pairs: DataFrame, texts: DataFrame, text_id: str, text: str, needles
 def splice(text: Column, edits: Column, most: int = 0) -> Column:
     """text with edits array<struct<s:bigint,e:bigint,t:string>> (byte spans) put in: sorted by start, an edit that overlaps an
     earlier one is dropped, as is one out of bounds."""
-    raw = F.encode(text, "UTF-8")
+    raw = text.cast("binary")  # its bytes as they are, not encoded again for each edit
     size = F.octet_length(text).cast("bigint")
     valid = F.array_sort(F.filter(edits, lambda x: (x.s >= 0) & (x.s <= x.e) & (x.e <= size)))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))

@@ -375,18 +375,24 @@ def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return snippets, table(spark, d, "deps").filter("dep is not null and not contains(dep, 'fn main')")
 
 
+def _mutants(spark: SparkSession, d: str, profile: str) -> DataFrame:
+    seeds = staged(_seeds(spark, d), "seeds")
+    nodes, config = structures(syntax_nodes(seeds, "file_id", "file_text")), PROFILES[profile]
+    if config.placeholders or config.splice < 100:  # else they are read once
+        nodes = staged(nodes, "nodes")
+    return mutants(nodes, seeds, *_pool(spark, d), config, "file_id", "file_text", "seed_file")
+
+
 def corpus_mutants(spark: SparkSession, d: str) -> DataFrame:
     """Ten attempts at every file in the way that its hash gives: spliced with snippets of fitting families, their placeholders filled
     and dependencies in front, or edited once."""
-    nodes = staged(structures(_nodes(spark, d)), "nodes")
-    made = mutants(nodes, _seeds(spark, d), *_pool(spark, d), PROFILES["full"], "file_id", "file_text", "seed_file")
+    made = _mutants(spark, d, "full")
     return made.select("file_id", "attempt", "way", "id", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
 def baseline_mutants(spark: SparkSession, d: str) -> DataFrame:
     """Ten attempts at every file with two to nine slots, a third of them chaotic, nothing else adapted."""
-    nodes = staged(structures(_nodes(spark, d)), "nodes")
-    made = mutants(nodes, _seeds(spark, d), *_pool(spark, d), PROFILES["baseline"], "file_id", "file_text", "seed_file")
+    made = _mutants(spark, d, "baseline")
     return made.select("file_id", "attempt", "id", F.octet_length("content").cast("bigint").alias("bytes"))
 
 

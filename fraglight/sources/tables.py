@@ -7,12 +7,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
 _shipped: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,12 +65,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_folders[base]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as a table into the shared folder and reads it back. This cuts the lineage, and the table outlives the
     executors that wrote it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

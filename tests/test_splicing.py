@@ -130,6 +130,13 @@ def test_all_ways(spark, given):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_texts_are_not_sent_to_the_driver(spark, given):
+    """However small their files are: packed texts take many times that in memory."""
+    files, nodes, snippets, deps = given
+    made = sp.mutants(nodes, files, snippets, deps, PROFILES["baseline"], "file_id", "text", "seed")
+    assert made.count() > 20 and "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("profile", ["source-only-no-other-no-misc", "half-dep-prob"])
 def test_nothing_to_splice(spark, given, profile):
     files, nodes, snippets, deps = given
