@@ -31,6 +31,8 @@ SIGMAS = 4.0
 SMALL = 32
 #: Times that members of larger ones meet a member drawn by hash.
 ROUNDS = 2
+#: Texts or pairs that a worker handles at once: their hashes stay in the cache.
+BLOCK = 125
 
 
 def formatting_off(column: str) -> F.Column:
@@ -38,21 +40,32 @@ def formatting_off(column: str) -> F.Column:
     return F.lower(F.regexp_replace(F.col(column), r"[^\p{L}\p{N}]+", ""))
 
 
-def _shingle_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, 32-bit hash) of the n-character substrings, by text. A text shorter than n is its own
-    only substring."""
+def _shingle_keys(texts: list[str], n: int) -> np.ndarray:
+    """Distinct n-character substrings of each text, sorted: text number and 32-bit hash in one number. A text shorter than n
+    is its own only substring."""
     texts = [t if len(t) >= n else t.ljust(n, "\0") for t in texts]
-    parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    sizes = np.array([len(p) for p in parts])
-    chars = np.concatenate(parts).astype(np.uint64)
-    h = np.zeros(len(chars) - n + 1, np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(chars) - n + 1), np.uint64)
     for k in range(n):
-        h = h * np.uint64(0x100000001B3) + chars[k : len(chars) - n + 1 + k]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
-    ends = np.cumsum(sizes)
-    inside = np.arange(len(h)) + n <= ends[owner]
-    both = np.unique((owner[inside].astype(np.uint64) << np.uint64(32)) | (h[inside] >> np.uint64(32)))
+        h *= np.uint64(0x100000001B3)
+        h += chars[k : len(h) + k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h >>= np.uint64(32)
+    h |= np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(32), sizes)[: len(h)]
+    inside = np.ones(len(h), bool)
+    for k in range(1, n):
+        inside[np.cumsum(sizes)[:-1] - k] = False
+    both = np.sort(h[inside])
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    return both[new]
+
+
+def _shingle_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as (text number, hash)."""
+    both = _shingle_keys(texts, n)
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -67,9 +80,12 @@ def minima(texts: list[str], n: int, hashes: int) -> np.ndarray:
     begin = np.searchsorted(owner, np.arange(len(texts)))
     a, b = _universal(hashes)
     out = np.empty((hashes, len(texts)), np.uint32)
+    y, high = np.empty_like(x), np.empty_like(x)
     for k in range(hashes):
-        y = x * a[k] + b[k]
-        out[k] = np.minimum.reduceat(y ^ (y >> np.uint32(15)), begin)
+        np.multiply(x, a[k], out=y)
+        y += b[k]
+        y ^= np.right_shift(y, np.uint32(15), out=high)
+        np.minimum.reduceat(y, begin, out=out[k])
     return out.T.copy()
 
 
@@ -87,8 +103,8 @@ def _signed(texts: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
                 low = minima(part.column(1).to_pylist(), n, bands * rows)
                 bits = np.packbits((low[:, :64] & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64).ravel()
                 keys = _band_keys(low, bands, rows) ^ part.column(2).to_numpy(zero_copy_only=False)[:, None]
@@ -100,12 +116,10 @@ def _signed(texts: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
 def jaccard(pairs: list[tuple[str, str]], n: int) -> np.ndarray:
     """Exact similarity of the sets of n-character substrings of each pair."""
-    left, x = _shingle_hashes([p for p, _ in pairs], n)
-    right, y = _shingle_hashes([q for _, q in pairs], n)
-    a = (left.astype(np.uint64) << np.uint64(32)) | x
-    b = (right.astype(np.uint64) << np.uint64(32)) | y
-    both = np.bincount(np.intersect1d(a, b, assume_unique=True).astype(np.uint64) >> np.uint64(32), minlength=len(pairs)) if len(pairs) else np.empty(0)
-    return both / (np.bincount(left, minlength=len(pairs)) + np.bincount(right, minlength=len(pairs)) - both)
+    a, b = (_shingle_keys([p[k] for p in pairs], n) for k in (0, 1))
+    every = np.sort(np.concatenate([a, b]))
+    both, left, right = (np.bincount((x >> np.uint64(32)).astype(np.int64), minlength=len(pairs)) for x in (every[1:][every[1:] == every[:-1]], a, b))
+    return both / (left + right - both)
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -113,8 +127,8 @@ def _verified(pairs: DataFrame, signed: DataFrame, threshold: float, n: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
                 keep = jaccard(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), n) >= threshold
                 yield part.select([0, 1]).filter(pa.array(keep))
 
@@ -182,11 +196,11 @@ def near_duplicate_groups(
     all count. Other columns are ignored, whatever their names; an empty table gives no rows."""
     source = df.select((F.col(kind) if kind else F.lit("")).alias("kind"), F.col(key).alias("id"), formatting_off(text).alias("text"))
     source = source.filter("kind is not null and id is not null").filter(F.length("text") >= least)
-    source = source.withColumn("h", F.unhex(F.md5(F.concat_ws("\u0001", "kind", "text"))))
+    source = staged(source.withColumn("h", F.unhex(F.md5(F.concat_ws("\u0001", "kind", "text")))), "source")
     texts = staged(source.dropDuplicates(["h"]).select("h", "kind", "text", F.monotonically_increasing_id().alias("node")), "texts")
     signed = staged(_signed(texts.select("node", "text", F.xxhash64("kind")), bands, rows, n), "signed")
 
-    each = signed.select("node", F.explode("keys").alias("key"))
+    each = signed.select("node", F.explode("keys").alias("key")).repartition("key")  # the one shuffle of what follows
     sizes = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low <> high")
     shared = staged(each.join(sizes, "key"), "buckets")
     to_hubs = shared.filter("node <> low").select(*_pair("node", "low")).union(shared.filter("node <> high").select(*_pair("node", "high")))
@@ -220,6 +234,6 @@ def near_duplicate_groups(
     of = texts.select("h", "node").join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("root"))
     members = staged(source.select("kind", "id", "h").distinct().join(of, "h").select("kind", "id", "root").distinct(), "members")
     firsts = members.groupBy("root").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id <> last")
-    for done in (texts, signed, shared, compared, mixed):
+    for done in (source, texts, signed, shared, compared, mixed):
         discard(done)
     return members.join(firsts, "root").filter("id <> first_id").select("kind", "first_id", F.col("id").alias("other_id"))

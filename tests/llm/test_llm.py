@@ -274,6 +274,14 @@ def test_rare_pairs_have_all_that_are_similar(spark):
     assert alike and alike <= got
 
 
+def test_formatting_is_taken_off_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(neardup, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, name))
+    df = spark.range(6).withColumn("text", F.concat(F.repeat(F.lit("some text, "), 14), (F.col("id") / 2).cast("int").cast("string")))
+    assert near_duplicate_groups(df, "id", "text").count() >= 3
+    assert sum("regexp_replace" in p for p in plans) == 1
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "id bigint, text string"), "id", "text").count() == 0
 
